@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mixing, outliers, ranking
+from . import mixing, outliers, ranking, setjoin
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(table(spark, sf_dir, "documents")).select("doc_id", *outliers.BASE, "base_failed", "kept", "distance2")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
+    return {"op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
 
 
 def oracle_sql() -> dict:

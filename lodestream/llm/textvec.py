@@ -237,3 +237,18 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
         return flat[:0]
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     return flat[at + np.arange(total)]
+
+
+SLICE_BYTES = 1 << 21
+
+
+def slices(batches, column: str = "text", most: int = SLICE_BYTES):
+    """Cut record batches so that one slice holds about ``most`` bytes of text (one row at least): bounds a task's memory."""
+    for rb in batches:
+        col = rb.column(column)
+        sizes = np.diff(from_arrow(col).offs)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), rb.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if z > a:
+                yield rb.slice(a, z - a)
