@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, gif, mixing, outliers, ranking, repair, setjoin
+from . import bpe, fixity, gif, mixing, outliers, ranking, repair, setjoin, unigram
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(files)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = gif.store(table(spark, sf_dir, "documents"), ["doc_id"])
     return gif.described(media, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -35,13 +39,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.rules(table(spark, sf_dir, "documents")).select("doc_id", *outliers.BASE, "base_failed", "kept", "distance2")
 
 
+def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.drill(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
+    return {"op6_token_counts": op6_token_counts, "op9_fixity_audit": op9_fixity_audit, "op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
 
 
 def oracle_sql() -> dict:
-    return {"op4_mix_sources": mixing.SQL}
+    return {"op4_mix_sources": mixing.SQL, "op9_fixity_audit": fixity.SQL}
