@@ -37,7 +37,7 @@ from ..session import stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, MAX_HOT = 1 << 24, 1 << 20
+CHUNK_BYTES, MAX_HOT = 1 << 22, 1 << 20
 NONE = 2147483647
 SHIFT = 65536
 
@@ -170,33 +170,34 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.array([0, len(lists)], np.int32)), lists)
 
 
-def _split(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of texts: words in each text; which distinct word stands where; the distinct words' hashes, counts, sizes, bytes."""
-    words, hashes, counts = [], [], []
-    for part in tv.slices([rb]):
-        b = tv.from_arrow(part.column("text"))
-        s = tv.pretokens(b)
-        hashes.append(tv.span_hash(b.buf, s.start, s.end))
-        counts.append(tv.counts(s.doc, part.num_rows))
-        first, _ = tv.distinct(hashes[-1])
-        sizes = s.end[first] - s.start[first]
-        words.append((hashes[-1][first], sizes, tv.gather(b.buf, s.start[first], sizes)))
-    _, where, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    h, size, flat = (np.concatenate([w[i] for w in words]) for i in range(3))
+def _distinct_words(batch: tv.Batch) -> tuple[tv.Spans, np.ndarray, tuple[np.ndarray, ...]]:
+    """Spans of the words of some texts, which distinct word each is, and the distinct words' hashes, counts, sizes and bytes."""
+    s = tv.pretokens(batch)
+    known, first, where, often = np.unique(tv.span_hash(batch.buf, s.start, s.end), return_index=True, return_inverse=True, return_counts=True)
+    size = s.end[first] - s.start[first]
+    return s, where, (known, often, size, tv.gather(batch.buf, s.start[first], size))
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct words of several parts: hashes, counts, sizes, where their bytes begin, all bytes, and for each part's words the place here."""
+    h, often, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
     begin = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-    known, one = np.unique(h, return_index=True)
-    return np.concatenate(counts), where, known, often, size[one], begin[one], flat
+    known, one, where = np.unique(h, return_index=True, return_inverse=True)
+    return known, np.bincount(where, weights=often, minlength=len(known)).astype(np.int64), size[one], begin[one], flat, where
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that come at least twice in a chunk, with their counts there."""
-    for rb in tv.slices(batches, most=CHUNK_BYTES):
-        _, _, _, often, size, begin, flat = _split(rb)
+    """The words that come at least twice in a batch, with their counts there."""
+    for rb in batches:
+        parts = [_distinct_words(tv.from_arrow(part.column("text")))[2] for part in tv.slices([rb], most=1 << 20)]
+        if not parts:
+            continue
+        _, often, size, begin, flat, _ = _merged(parts)
         twice = often > 1
         size, got = size[twice], tv.gather(flat, begin[twice], size[twice])
         offs = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes())
         word = pa.Array.from_buffers(pa.binary(), len(size), [None, offs, pa.py_buffer(got.tobytes())])
-        yield pa.RecordBatch.from_arrays([word, pa.array(often[twice].astype(np.int64))], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([word, pa.array(often[twice])], names=["word", "n"])
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +245,20 @@ def chunks(docs: DataFrame, keep: list[str], hot, most: int = CHUNK_BYTES) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = hot.value.hashes
         for rb in tv.slices(batches, most=most):
-            counts, where, known, _, size, begin, flat = _split(rb)
+            parts, counts, places = [], [], []
+            for part in tv.slices([rb], most=1 << 20):
+                spans, where, words = _distinct_words(tv.from_arrow(part.column("text")))
+                parts.append(words)
+                counts.append(tv.counts(spans.doc, part.num_rows).astype("<u4"))
+                places.append(where.astype(np.int32))
+            known, _, size, begin, flat, there = _merged(parts)
             at = np.searchsorted(have, known)
             cold = np.ones(len(known), bool) if not len(have) else have[np.minimum(at, len(have) - 1)] != known
             at[cold] = len(have) + np.arange(cold.sum())
             lists = _lists(tv.gather(flat, begin[cold], size[cold]), size[cold])
-            row = [*(pa.array([x], pa.binary()) for x in (_pack(rb.select(keep)), counts.astype("<u4").tobytes(), at[where].astype("<u4").tobytes())), lists]
+            ends = np.cumsum([len(p[0]) for p in parts])
+            where = b"".join(at[there[e - len(p[0]) : e]][w].astype("<u4").tobytes() for e, p, w in zip(ends, parts, places))
+            row = [*(pa.array([x], pa.binary()) for x in (_pack(rb.select(keep)), np.concatenate(counts).tobytes(), where)), lists]
             yield pa.RecordBatch.from_arrays(row, names=["rest", "counts", "places", "words"])
 
     return source.mapInArrow(run, "rest binary, counts binary, places binary, words array<array<int>>")

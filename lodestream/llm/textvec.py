@@ -169,6 +169,22 @@ def char_classes() -> np.ndarray:
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
+@functools.cache
+def _byte_classes() -> np.ndarray:
+    t = char_classes()[:256].copy()
+    t[128:] = 1
+    return t
+
+
+def _latin(buf: np.ndarray) -> bool:
+    """Whether all characters beyond ASCII are in U+00C0-U+024F and letters."""
+    at = np.flatnonzero(buf >= 0xC0)
+    if not len(at):
+        return True
+    first, second = buf[at], buf[at + 1]
+    return bool(((first >= 0xC3) & ((first < 0xC9) | ((first == 0xC9) & (second < 0x90))) & ~((first == 0xC3) & ((second == 0x97) | (second == 0xB7)))).all())
+
+
 def pretokens(b: Batch) -> Spans:
     """The matches of the public byte-level pattern, in order, as byte spans.
 
@@ -180,12 +196,16 @@ def pretokens(b: Batch) -> Spans:
     if not n:
         z = np.zeros(0, np.int64)
         return Spans(z, z, z)
-    lead = np.flatnonzero((b.buf & 0xC0) != 0x80)
-    code = np.frombuffer(b.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = char_classes()[code]
+    if _latin(b.buf):
+        # every character beyond ASCII is a letter: bytes will do in place of characters
+        lead, code, kind = None, b.buf, _byte_classes()[b.buf]
+    else:
+        lead = np.flatnonzero((b.buf & 0xC0) != 0x80)
+        code = np.frombuffer(b.buf.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = char_classes()[code]
     m = len(code)
     opens = np.zeros(m + 1, bool)  # first character of a text
-    opens[np.searchsorted(lead, b.offs)] = True
+    opens[b.offs if lead is None else np.searchsorted(lead, b.offs)] = True
     begin = np.empty(m, bool)
     begin[0] = True
     begin[1:] = kind[1:] != kind[:-1]
@@ -219,7 +239,7 @@ def pretokens(b: Batch) -> Spans:
         inside = (kind[after] == 1) & ~opens[after]
         cut[after[inside]] = True
     tok = np.flatnonzero(cut)
-    start = lead[tok]
+    start = tok if lead is None else lead[tok]
     end = np.append(start[1:], n)
     return Spans(start, end, rows_at(b, start))
 
