@@ -52,7 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op6_token_counts": op6_token_counts, "op9_fixity_audit": op9_fixity_audit, "op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
+    return {"op1_license_scan": op1_license_scan, "op6_token_counts": op6_token_counts, "op9_fixity_audit": op9_fixity_audit, "op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
 
 
 def oracle_sql() -> dict:
