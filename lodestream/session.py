@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -59,3 +60,30 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def least_hashed(df: DataFrame, hashed: str, most: int) -> DataFrame:
+    """About the ``most`` distinct rows with the least values of a 64-bit hash column (``most`` at the most).
+
+    A range of hash values that holds about twice as many is cut out first, so a task sorts and sends only its
+    share of the sample, however many tasks there are.
+    """
+    rows = df.count()
+    if rows > 4 * most:
+        df = df.where(f"`{hashed}` < {-(1 << 63) + (1 << 64) * 2 * most // rows}")
+    return df.distinct().orderBy(hashed).limit(most)
+
+
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the greatest counts, as many whole eighths of an octave of the count as ``most`` rows hold.
+
+    The least count is found from how many rows each level of count has, so that no rows are sorted or sent for it.
+    """
+    level = F.floor(8 * F.log2(column)).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min(column).alias("n")).orderBy(F.desc("level")).collect():
+        left -= r["k"]
+        if left < 0:
+            break
+        least = r["n"]
+    return counts.where(F.lit(False) if least is None else F.col(column) >= least)
