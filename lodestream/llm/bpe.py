@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import most_frequent, stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -220,15 +220,7 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> Hot:
     """The frequent words' ids: at most ``most`` words."""
     counts = docs.select("text").mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= 64)
     counts = stored(counts)
-    # how many words there are of each size of count, to find the least count that keeps the bound
-    level = F.floor(8 * F.log2("n")).cast("int")
-    left, least = most, None
-    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():
-        left -= r["k"]
-        if left < 0:
-            break
-        least = r["n"]
-    hot = counts.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+    hot = most_frequent(counts, "n", most).select("word")
     rows = hot.mapInArrow(_as_bytes, "hashes binary, words array<array<int>>").select("hashes", encode_words(F.col("words"), path).alias("ids"))
     got = rows.mapInArrow(_as_blobs, "hashes binary, sizes binary, ids binary").toArrow()
     h, sizes, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), t) for c, t in (("hashes", np.uint64), ("sizes", "<u4"), ("ids", "<u4")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import least_hashed
 from . import textvec as tv
 
 # fixed values: names by which the families are known, and the words of their public short notices
@@ -258,8 +259,8 @@ def judge(m: Model, b: tv.Batch) -> dict[str, np.ndarray]:
 def learn(docs: DataFrame, lines: int = LINES) -> Model:
     """Fit on the rule-made examples and at most ``lines`` lines of the corpus (those with the least hash)."""
     line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n"))
-    sample = docs.select(line.alias("line")).where("length(line) BETWEEN 1 AND 2000").withColumn("h", F.xxhash64("line")).orderBy("h", "line").limit(lines)
-    return fit([r["line"] for r in sample.collect()])
+    sample = docs.select(line.alias("line")).where("length(line) BETWEEN 1 AND 2000").withColumn("h", F.xxhash64("line"))
+    return fit(sorted(r["line"] for r in least_hashed(sample, "h", lines).collect()))
 
 
 def scan(docs: DataFrame, model: Model | None = None, keep: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import least_hashed
 from . import outliers
 from . import textvec as tv
 
@@ -106,7 +107,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> tuple[np.ndarray, np.ndarray]:
     lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     lab = lab.groupBy("doc_id").agg(F.min("quality").alias("_y")).withColumn("_h", F.xxhash64("doc_id"))
-    sample = lab.where("_y = 0").orderBy("_h").limit(max_per_class).unionByName(lab.where("_y = 1").orderBy("_h").limit(max_per_class))
+    sample = least_hashed(lab.where("_y = 0"), "_h", max_per_class).unionByName(least_hashed(lab.where("_y = 1"), "_h", max_per_class))
     # at most 2 * max_per_class rows of a few bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_y", "text")
     size = len(SHARES) + BUCKETS
