@@ -13,8 +13,8 @@ documents (documents + 1). A shard is one row (shard, part, docs, ids, blob) of
 Spark to the shared folder; a shard whose ids would take too much memory is written in several parts.
 
 The ids come from the tokenizers library. Since its byte-level splitting is a fixed pattern, each
-task encodes every distinct word it meets with the library once and reuses the result; words are kept
-in bounded arrays that start anew when they are full.
+task encodes the distinct words it meets with the library and reuses the results, kept in arrays of
+bounded size.
 
 Defined results: a null or empty text has only the end id; repeated rows are written as often as they
 stand; an empty table gives no shards and an empty result.
@@ -23,6 +23,7 @@ stand; an empty table gives no shards and an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 import zlib
@@ -33,16 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import arrow_rows, shared_dir, stored
 from . import textvec as tv
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 MAGIC = b"RPR1"
-PART_IDS = 1 << 20  # ids in one part of a shard
+PART_IDS = 1 << 19  # ids in one part of a shard
 SHARD_BYTES = 24 << 20
 TERMINALS, MAX_SYMBOLS = 1 << 16, 1 << 17
-ROUNDS, RULES_EACH, LEAST = 5, 2048, 16
-MAX_WORDS = 1 << 20
+ROUNDS, RULES_EACH, LEAST = 3, 6144, 16
+CACHE_BITS, MAX_CACHED_IDS = 20, 1 << 22
+#: A page for each file: pages are read as a whole, and the writer's default looks at their size every 100 rows only.
+PAGES = {"parquet.page.size": "1048576", "parquet.page.size.row.check.min": "1"}
 
 
 def default_path() -> str:
@@ -62,47 +65,77 @@ def tokenizer(path: str):
 
 
 class Words:
-    """Words seen so far and their ids: sorted hashes, and where each word's ids lie."""
+    """A cache of words' ids with one place for each hash value's first bits; the first word there stays."""
 
-    def __init__(self, path: str, most: int = MAX_WORDS):
-        self.path, self.most = path, most
+    def __init__(self, path: str, bits: int = CACHE_BITS):
+        self.path, self.shift = path, np.uint64(64 - bits)
+        self.hashes, self.begin, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
-
-    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if not words:
-            return
-        if len(self.hashes) + len(words) > self.most:
-            self.clear()
-        got = [e.ids for e in tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        begin = len(self.flat) + np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint16, int(size.sum()))])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.begin, self.size = hashes[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.hashes[:] = 0
+        self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+
+    def _library(self, words: list[str]) -> list[list[int]]:
+        """Each word's ids. Words without inner white space go in texts of 64, a line feed between them: it is a
+        token of its own there, so its id marks where each word ends."""
+        t = tokenizer(self.path)
+        many = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        feed = many(["\n"])[0][0]
+        plain = [i for i, w in enumerate(words) if not w.isspace()]
+        out: list[list[int]] = [[]] * len(words)
+        groups = [plain[a : a + 64] for a in range(0, len(plain), 64)]
+        for group, ids in zip(groups, many(["\n".join([words[i] for i in g]) for g in groups])):
+            a = 0
+            if ids.count(feed) != len(group) - 1:
+                for i, got in zip(group, many([words[i] for i in group])):
+                    out[i] = got
+                continue
+            for i in group[:-1]:
+                z = ids.index(feed, a)
+                out[i] = ids[a:z]
+                a = z + 1
+            out[group[-1]] = ids[a:]
+        blank = sorted(set(range(len(words))).difference(plain))
+        for i, got in zip(blank, many([words[i] for i in blank])):
+            out[i] = got
+        return out
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words with the library: where each one's ids begin in flat, and how many they are."""
+        begins, sizes = [], []
+        for a in range(0, len(words), 8192):
+            got = self._library(words[a : a + 8192])
+            size = np.fromiter(map(len, got), np.int32, len(got))
+            n = int(size.sum())
+            if self.used + n > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), np.uint16)])
+            self.flat[self.used : self.used + n] = np.fromiter(itertools.chain.from_iterable(got), np.uint16, n)
+            begins.append(self.used + np.cumsum(size) - size)
+            sizes.append(size)
+            self.used += n
+        return np.concatenate(begins).astype(np.int32), np.concatenate(sizes)
 
     def encode(self, b: tv.Batch) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, end id included, and where each text's ids begin (len = texts + 1)."""
         n = len(b.offs) - 1
+        if self.used > MAX_CACHED_IDS:
+            self.clear()
         s = tv.pretokens(b)
         h = tv.span_hash(b.buf, s.start, s.end)
-        known, first, where = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, known)
-        new = np.ones(len(known), bool) if not len(self.hashes) else self.hashes[np.minimum(at, len(self.hashes) - 1)] != known
-        if new.any():
-            if len(self.hashes) + int(new.sum()) > self.most:
-                self.clear()
-                new[:] = True
-            f = first[new]
+        slot = (h >> self.shift).astype(np.int64)
+        begin, size = self.begin[slot], self.size[slot]
+        new = np.flatnonzero((self.hashes[slot] != h) | (h == 0))
+        if len(new):
+            _, first, where = np.unique(h[new], return_index=True, return_inverse=True)
+            f = new[first]
             raw = b.buf.tobytes()
-            self.learn(known[new], [raw[x:y].decode() for x, y in zip(s.start[f].tolist(), s.end[f].tolist())])
-            at = np.searchsorted(self.hashes, known)
-        size = self.size[at][where]
-        ids = tv.gather(self.flat, self.begin[at][where], size)
+            at, count = self.learn([raw[x:y].decode() for x, y in zip(s.start[f].tolist(), s.end[f].tolist())])
+            begin[new], size[new] = at[where], count[where]
+            free = self.hashes[slot[f]] == 0
+            at, count, f = at[free], count[free], slot[f[free]]
+            self.hashes[f], self.begin[f], self.size[f] = h[new[first[free]]], at, count
+        ids = tv.gather(self.flat, begin.astype(np.int64), size.astype(np.int64))
         per = tv.counts(s.doc, n, size)
         edge = np.concatenate([[0], np.cumsum(per + 1)])
         out = np.full(edge[-1], END_ID, np.uint16)
@@ -121,11 +154,12 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(path, Words(path))
-        for rb in tv.slices(batches):
+        for rb in tv.slices(batches, most=1 << 20):
             ids, edge = words.encode(tv.from_arrow(rb.column("text")))
             offs = pa.py_buffer((2 * edge).astype(np.int32).tobytes())
             blob = pa.Array.from_buffers(pa.binary(), rb.num_rows, [None, offs, pa.py_buffer(ids.astype("<u2").tobytes())])
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), blob], names=[*keep, "ids"])
+        pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, f"{kinds}, ids binary")
@@ -134,6 +168,10 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
 # --- the grammar ---
 
 
+def _place(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """left, right and expansion length of each rule, and the sequence. Rule k is symbol terminals + k."""
     seq = ids.astype(np.uint32)
@@ -150,10 +188,13 @@ def compress(ids: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, n
         found, count = s[first[often]], count[often]
         if not len(found):
             break
-        if len(found) > room:
-            found = found[np.sort(np.lexsort((found, -count))[:room])]
-        at = np.minimum(np.searchsorted(found, pair), len(found) - 1)
-        hit = found[at] == pair
+        best = np.lexsort((found, -count))[:room][::-1]
+        # a table by hash; of pairs that meet in one place the most frequent, written last, stays for this round
+        table, number = np.full(1 << 16, 1 << 63, np.uint64), np.zeros(1 << 16, np.int64)
+        table[_place(found[best])], number[_place(found[best])] = found[best], best
+        place = _place(pair)
+        hit = table[place] == pair
+        at = number[place]
         # of occurrences that overlap, every second one from the left
         where = np.flatnonzero(hit)
         begin = np.append(True, np.diff(where) > 1)
@@ -277,7 +318,8 @@ def write_shards(docs: DataFrame, path: str | None = None, folder: str | None =
                 a = z
         yield from flush()
 
-    ordered.mapInArrow(run, "shard int, part int, docs long, ids long, doc_ids array<long>, blob binary").write.parquet(folder)
+    with arrow_rows(docs.sparkSession, 1000):
+        ordered.mapInArrow(run, "shard int, part int, docs long, ids long, doc_ids array<long>, blob binary").write.options(**PAGES).parquet(folder)
     files = docs.sparkSession.read.parquet(folder)
     return files, files.select("shard", "part", "docs", "ids")
 
@@ -299,5 +341,6 @@ def read_shards(files: DataFrame) -> DataFrame:
                 n = len(r)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.full(n, rb.column("shard")[k].as_py(), np.int32)), pa.array(np.full(n, rb.column("part")[k].as_py(), np.int32)), pa.array(edge[:-1]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())], names=["doc_id", "shard", "part", "at", "n_tokens", "ids_crc32"])
 
-    got = files.select("shard", "part", "doc_ids", "blob").mapInArrow(run, "doc_id long, shard int, part int, at long, n_tokens long, ids_crc32 long")
+    with arrow_rows(files.sparkSession, 8):  # files are large rows
+        got = stored(files.select("shard", "part", "doc_ids", "blob").mapInArrow(run, "doc_id long, shard int, part int, at long, n_tokens long, ids_crc32 long"))
     return got.join(starts, ["shard", "part"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -9,7 +9,8 @@ Two relations between sets save work:
 * Index level: each token's list is sorted by set size and cut into blocks. A block knows its least
   and greatest size, its least position and its component if it has only one; pairs of blocks whose
   sizes or positions rule a link out, or that are already known to be one component, are skipped whole.
-* Answer level: each set is first compared only with its neighbour in the list and with its block's
+  Pairs found in the rest are counted: similar sets share a known least number of prefix tokens.
+* Answer level: each set is first compared only with a few neighbours in the list and with its block's
   leader, which are the sets most like it. What these comparisons answer is carried over to the whole
   component: the second round looks only for partners in other components, so a group of near copies
   costs a number of comparisons in proportion to its size, not to its square. No link between
@@ -36,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import most_frequent, stored
 from . import textvec as tv
 
 SHINGLE, NUM, DEN = 5, 4, 5  # five words, Jaccard of 4/5 or more
-HEAVY_FROM, MAX_HEAVY, BLOCK = 8, 1 << 20, 64
+HEAVY_FROM, MAX_HEAVY, BLOCK, LARGE = 8, 1 << 20, 256, 64
+NEIGHBOURS = (1, 2, 3, 5, 8)
 
 
 class Sets(NamedTuple):
@@ -135,10 +137,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rb.column("doc_id").cast(pa.int64()), tokens], names=["sid", "tokens"])
 
 
+def _need(na, nb):
+    """The least intersection of two similar sets of these sizes."""
+    return F.ceil(NUM * (na + nb) / (NUM + DEN))
+
+
 def _possible(na, nb, i, j):
-    """Size and position bounds for a pair; i and j are the positions of the token they share."""
+    """Size and position bounds for a pair that shares a token at positions i and j.
+
+    What stands before it in the longer front, and not in the shorter one, is missing in the other set.
+    """
     least, most = F.least(na, nb), F.greatest(na, nb)
-    return (DEN * least >= NUM * most) & ((NUM + DEN) * (1 + F.least(na - i, nb - j) - 1) >= NUM * (na + nb))
+    return (DEN * least >= NUM * most) & (j - i <= nb - _need(na, nb)) & (i - j <= na - _need(na, nb))
+
+
+def _least_shared(na, nb):
+    """How many tokens the indexed prefixes of two similar sets share at least."""
+    prefix = lambda n: n - F.ceil(NUM * n / DEN) + 1
+    return F.least(prefix(na) - na, prefix(nb) - nb) + _need(na, nb)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,33 +186,89 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
-    """lists (token, sid, n, pos, comp) as blocks of at most BLOCK neighbours in size, with their bounds."""
-    order = Window.partitionBy("token").orderBy("n", "pos", "sid")
+    """lists (token, sid, n, pos, comp, members) as blocks of at most BLOCK neighbours in size, with their bounds.
+
+    Sets of a large component stand apart, so that whole blocks of it are known to be answered.
+    """
+    order = Window.partitionBy("token").orderBy(F.when(F.col("members") >= LARGE, F.col("comp")), "n", "pos", "sid")
     numbered = lists.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    return numbered.groupBy("token", "block").agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.collect_list(F.struct("sid", "n", "pos", "comp")).alias("rows")
-    )
+    bounds = [f(c).alias(f"{c}_{k}") for c in ("n", "pos", "comp") for k, f in (("lo", F.min), ("hi", F.max))]
+    return numbered.groupBy("token", "block").agg(*bounds, F.collect_list(F.struct("sid", "n", "pos", "comp", "members")).alias("rows"))
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """All possible pairs (a < b) of different components that share a token, found block by block."""
+    """All pairs (a, b) of different components that may be similar, found block by block.
+
+    A pair belongs to the set of the smaller component, and each set's partners are counted in one
+    place: a pair that shares fewer prefix tokens than similar sets must is left out.
+    """
     blocks = _blocks(lists)
     x = blocks.select("token", *(F.col(c).alias(f"x_{c}") for c in blocks.columns if c != "token"))
     y = blocks.select("token", *(F.col(c).alias(f"y_{c}") for c in blocks.columns if c != "token"))
-    one = (F.col("x_c_lo") == F.col("x_c_hi")) & (F.col("y_c_lo") == F.col("y_c_hi")) & (F.col("x_c_lo") == F.col("y_c_lo"))
-    # x has the smaller sizes; the least possible need must be within the rest of both lists
-    sizes = DEN * F.col("x_n_hi") >= NUM * F.col("y_n_lo")
-    need = (NUM + DEN) * F.least("x_rest", "y_rest") >= NUM * (F.col("x_n_lo") + F.col("y_n_lo"))
-    met = x.join(y, "token").where((F.col("x_block") <= F.col("y_block")) & sizes & need & ~one)
-    p, q = F.col("p"), F.col("q")
-    inner = F.transform(
-        F.col("x_rows"),
-        lambda p: F.transform(
-            F.filter(F.col("y_rows"), lambda q: (p["comp"] != q["comp"]) & ((F.col("x_block") < F.col("y_block")) | (p["sid"] < q["sid"])) & _possible(p["n"], q["n"], p["pos"], q["pos"])),
-            lambda q: F.struct(F.least(p["sid"], q["sid"]).alias("a"), F.greatest(p["sid"], q["sid"]).alias("b")),
-        ),
-    )
-    return met.select(F.explode(F.array_distinct(F.flatten(inner))).alias("e")).select("e.a", "e.b").distinct()
+    one = (F.col("x_comp_lo") == F.col("x_comp_hi")) & (F.col("y_comp_lo") == F.col("y_comp_hi")) & (F.col("x_comp_lo") == F.col("y_comp_lo"))
+    least = F.least("x_n_lo", "y_n_lo")
+    sizes = DEN * F.least("x_n_hi", "y_n_hi") >= NUM * F.greatest("x_n_lo", "y_n_lo")
+    need = _need(least, least)
+    positions = (F.col("y_pos_lo") - F.col("x_pos_hi") <= F.col("y_n_hi") - need) & (F.col("x_pos_lo") - F.col("y_pos_hi") <= F.col("x_n_hi") - need)
+    met = x.join(y, "token").where((F.col("x_block") <= F.col("y_block")) & sizes & positions & ~one)
+    # the block pairs of long lists are dealt out again, so that no list's work falls on one task
+    met = met.where("y_block = 0").unionByName(met.where("y_block > 0").repartition("token", "x_block", "y_block"))
+
+    def partners(own: str, others: str):
+        def of(p):
+            mine = lambda q: (p["comp"] != q["comp"]) & (F.struct(p["members"], p["comp"]) < F.struct(q["members"], q["comp"])) & _possible(p["n"], q["n"], p["pos"], q["pos"])
+            ids = F.transform(F.filter(F.col(others), mine), lambda q: F.struct(q["sid"].alias("sid"), q["n"].alias("n")))
+            return F.struct(p["sid"].alias("sid"), p["n"].alias("n"), ids.alias("ids"))
+
+        return F.filter(F.transform(F.col(own), of), lambda r: F.size(r["ids"]) > 0)
+
+    both = F.concat(partners("x_rows", "y_rows"), F.when(F.col("x_block") < F.col("y_block"), partners("y_rows", "x_rows")).otherwise(F.expr("slice(transform(x_rows, p -> struct(p.sid AS sid, p.n AS n, array(struct(p.sid AS sid, p.n AS n)) AS ids)), 1, 0)")))
+    rows = met.select(F.explode(both).alias("e")).select("e.sid", "e.n", F.col("e.ids.sid").alias("others"), F.col("e.ids.n").alias("sizes"))
+    return rows.repartition("sid").sortWithinPartitions("sid").mapInArrow(_count_partners, "a long, b long")
+
+
+def _count_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sid, n, others, sizes) in order of sid: the others that come often enough. Counts are merged now and
+    then, so a set's state is as long as its list of different partners."""
+    now, n, held, parts = None, 0, 0, []
+
+    def merged():
+        ids, sizes, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        u, first, where = np.unique(ids, return_index=True, return_inverse=True)
+        return u, sizes[first], np.bincount(where, weights=counts, minlength=len(u)).astype(np.int64)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if parts:
+            u, m, c = merged()
+            prefix = lambda k: k - (NUM * k + DEN - 1) // DEN + 1
+            need = -(-NUM * (n + m) // (NUM + DEN))
+            u = u[c >= np.minimum(prefix(n) - n, prefix(m) - m) + need]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, now)), pa.array(np.maximum(u, now))], names=["a", "b"])
+
+    for rb in batches:
+        sid, size = rb.column("sid").to_numpy(), rb.column("n").to_numpy()
+        others, sizes = rb.column("others"), rb.column("sizes")
+        edge = np.concatenate([[0], np.cumsum(others.value_lengths().to_numpy())])
+        flat, flat_n = others.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(sid[1:] != sid[:-1]) + 1, [len(sid)]]) if len(sid) else np.zeros(1, np.int64)
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if sid[a] != now:
+                yield from done()
+                now, n, held, parts = int(sid[a]), int(size[a]), 0, []
+            part = slice(edge[a], edge[z])
+            parts.append((flat[part], flat_n[part], np.ones(edge[z] - edge[a], np.int64)))
+            held += int(edge[z] - edge[a])
+            if held > 1 << 21:
+                parts = [merged()]
+                held = len(parts[0][0])
+    yield from done()
+
+
+def _counted(pairs: DataFrame, part: int) -> DataFrame:
+    """Distinct pairs (a, b) that come at least as often as similar sets share prefix tokens, or a ``part`` of that."""
+    n = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return n.where(part * F.col("c") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEAVY) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +277,7 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     survey = stored(source.mapInArrow(_survey, "doc_id long, n long, h1 long, h2 long, token long, c long"))
     narrow = survey.where("token IS NULL").select("doc_id", "n", "h1", "h2")
     heavy = survey.where("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= heavy_from)
-    top = heavy.orderBy(F.desc("c"), "token").limit(max_heavy).toPandas()  # at most max_heavy rows of 16 bytes
+    top = most_frequent(stored(heavy), "c", max_heavy).toPandas()  # at most max_heavy rows of 16 bytes
     top = top.sort_values(["c", "token"])
     hashes, rank = top.token.to_numpy(np.int64).view(np.uint64), np.arange(len(top), dtype=np.int32)
     order = np.argsort(hashes)
@@ -223,16 +295,21 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     lists = found.join(copies, "doc_id", "left").select("token", F.coalesce("sid", "doc_id").alias("sid"), "n", "pos").distinct()
     lists = stored(lists.withColumn("k", F.count("*").over(both)).where("k > 1").drop("k"))
 
-    order = Window.partitionBy("token").orderBy("n", "pos", "sid")
+    # the same order of sets in every list, so that neighbours are neighbours in many lists
+    order = Window.partitionBy("token").orderBy("n", "sid")
+    own = F.struct("sid", "n", "pos")
     numbered = lists.withColumn("r", F.row_number().over(order) - 1)
-    near = numbered.withColumn("lead", F.struct("sid", "n", "pos")).withColumn("before", F.lag("lead").over(order))
-    first = F.first("lead").over(Window.partitionBy("token", F.floor(F.col("r") / BLOCK)).orderBy("n", "pos", "sid"))
-    pairs = near.withColumn("first", first).select("sid", "n", "pos", F.explode(F.array("before", "first")).alias("o")).where("o IS NOT NULL AND o.sid <> sid")
-    pairs = pairs.where(_possible(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos")))
-    pairs = stored(pairs.select(F.least("sid", "o.sid").alias("a"), F.greatest("sid", "o.sid").alias("b")).distinct())
+    first = F.first(own).over(Window.partitionBy("token", F.floor(F.col("r") / BLOCK)).orderBy("n", "sid"))
+    near = numbered.withColumn("near", F.array(first, *(F.lag(own, k).over(order) for k in NEIGHBOURS))).withColumn("o", F.explode("near"))
+    pairs = near.where("o IS NOT NULL AND o.sid <> sid").where(_possible(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos")))
+    sides = [F.when(F.col("sid") < F.col("o.sid"), F.col(x)).otherwise(F.col(y)).alias(k) for x, y, k in (("sid", "o.sid", "a"), ("o.sid", "sid", "b"), ("n", "o.n", "na"), ("o.n", "n", "nb"))]
+    # neighbours in half of the lists that similar sets share are worth a look; the second round misses none
+    pairs = stored(_counted(pairs.select(*sides), 2))
     near_links = stored(_verified(pairs, _needed(source, pairs)))
     comp = components(near_links)
-    marked = lists.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"))
+    sizes = comp.groupBy("root").agg((F.count("*") + 1).alias("members"))
+    named = comp.join(sizes, "root").select(F.col("node").alias("sid"), "root", "members").unionByName(sizes.select(F.col("root").alias("sid"), "root", "members"))
+    marked = lists.join(named, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
     several = marked.withColumn("lo", F.min("comp").over(both)).withColumn("hi", F.max("comp").over(both)).where("lo < hi").drop("lo", "hi")
     rest = stored(_across(several).join(pairs, ["a", "b"], "left_anti"))
     links = near_links.unionByName(_verified(rest, _needed(source, rest)))
