@@ -17,9 +17,9 @@ Two relations between sets save work:
   different components is lost, as every pair of the remaining blocks is compared.
 
 Copies (equal sets) are collapsed to one representative before pairs are made. Components come from
-alternating star contractions in Spark; nothing about single documents reaches the driver. The one
-broadcast is the list of shared tokens, at most ``MAX_HEAVY`` of them: the order may be any order, so
-the bound can cost time and never a link.
+alternating star contractions in Spark; nothing about single documents reaches the driver. The
+broadcasts are the list of shared tokens, at most ``MAX_HEAVY`` of them (the order may be any order, so
+the bound can cost time and never a link), and a map of ``MARKS`` bits that spares most texts a shuffle.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing; with
 fewer than five words the whole sequence is the one shingle; repeated rows are copies of each other;
@@ -43,6 +43,7 @@ from . import textvec as tv
 SHINGLE, NUM, DEN = 5, 4, 5  # five words, Jaccard of 4/5 or more
 HEAVY_FROM, MAX_HEAVY, BLOCK, LARGE = 8, 1 << 20, 256, 64
 NEIGHBOURS = (1, 2, 3, 5, 8)
+MARKS, MAP_BITS = 1 << 25, 1 << 15  # bits in all (4 MB), and in one map of Spark's bitmap functions
 
 
 class Sets(NamedTuple):
@@ -318,8 +319,20 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
 
 
 def _needed(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, tokens) of the documents in pairs.
+
+    Most texts are in no pair. A map of ``MARKS`` bits, broadcast whole, tells them by their id's hash before
+    texts are shuffled; ids that share a bit only cost that, since the join with ``ids`` afterwards is exact.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return stored(source.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "sid long, tokens array<long>"))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bucket, bit = F.floor(hashed / MAP_BITS).alias("_bucket"), F.pmod(hashed, F.lit(MAP_BITS)).cast("int").alias("_bit")
+    marks = ids.select(bucket, bit).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)")) > 0
+    likely = source.select("doc_id", "text", bucket, bit).join(F.broadcast(marks), "_bucket").where(marked)
+    found = likely.select("doc_id", "text").join(ids, "doc_id")  # a semi-join would be moved below the map's
+    return stored(found.mapInArrow(_sets, "sid long, tokens array<long>"))
 
 
 def join(docs: DataFrame) -> DataFrame:
