@@ -3,13 +3,16 @@
 Each text gives a vector of transformed statistics. For every (language, source) the minimum
 covariance determinant is estimated by concentration steps that run as Spark aggregations: distances
 to the present centre, the distance that the nearest ``SUPPORT`` of the group's rows stay below, then
-mean and covariance of those rows. A document whose Mahalanobis distance is over the cutoff is
-rejected. No group is collected: histograms and sums of products are aggregated, and because the
+mean and covariance of those rows. The steps begin at two places (medians with deviations from them,
+and mean with covariance of all rows) and go on until the determinant of neither falls any more; the
+estimate with the least determinant counts. A document whose squared Mahalanobis distance is over
+``CUTOFF`` is rejected: the quantile ``CLEAN`` of its chi-square law. No group is collected: histograms and sums of products are aggregated, and because the
 statistics are whole numbers (1/1000) the sums are exact and runs agree whatever the partitioning.
 
 Groups with fewer than ``MIN_ROWS`` rows use their language's estimate, and a language with fewer
 uses that of all rows. Every variance has a floor, since most clean texts have no symbols or repeats
-at all and their covariance would otherwise be singular.
+at all and their covariance would otherwise be singular. A floor only shortens distances, so that at most
+1 - ``CLEAN`` of normally distributed rows are over the cutoff.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null
 languages and sources are groups of their own; repeated rows count as often as they stand; an empty
@@ -34,11 +37,31 @@ from . import textvec as tv
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["f_word_len", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_punct"]
 FLOOR = np.array([250.0, 60.0, 120.0, 120.0, 60.0, 60.0])  # least standard deviations, in 1/1000
-SUPPORT, MIN_ROWS, STEPS, CUTOFF = 0.75, 120, 3, 60.0
+SUPPORT, MIN_ROWS, CLEAN = 0.75, 120, 0.999
 SYMBOLS = b"#*$%&|<>"
 P = len(FEATURES)
 
 
+def _chi2_cdf(x: float, k: int) -> float:
+    """Of k degrees of freedom, k even: a finite sum."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
+
+
+def _chi2_quantile(share: float, k: int) -> float:
+    lo, hi = 0.0, 100.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _chi2_cdf(mid, k) < share else (lo, mid)
+    return lo
+
+
+def _consistency() -> float:
+    return SUPPORT / _chi2_cdf(_chi2_quantile(SUPPORT, P), P + 2)
+
+
+CUTOFF = _chi2_quantile(CLEAN, P)
+
+
 def _table(chars: bytes) -> np.ndarray:
     t = np.zeros(256, bool)
     t[list(chars)] = True
@@ -140,24 +163,11 @@ def _under(binned: DataFrame, group: list[str], share: float) -> DataFrame:
     return h.withColumn("_u", upto).withColumn("_t", F.sum("_c").over(w)).where(F.col("_u") >= F.ceil(F.col("_t") * share)).groupBy(*group).agg(F.min("_bin").alias("_limit"))
 
 
-PARAMS = "_key string, rows long, centre array<double>, inverse array<double>"
-
-
-def _chi2_cdf(x: float, k: int) -> float:
-    """Of k degrees of freedom, k even: a finite sum."""
-    return 1 - math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(k // 2))
-
-
-def _consistency() -> float:
-    lo, hi = 0.0, 100.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, P) < SUPPORT else (lo, mid)
-    return SUPPORT / _chi2_cdf(lo, P + 2)
+PARAMS = "_key string, _start int, rows long, centre array<double>, inverse array<double>, logdet double"
 
 
-def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    factor, at = _consistency(), [(i, j) for i in range(P) for j in range(i, P)]
+def _estimate(batches: Iterator[pd.DataFrame], factor: float) -> Iterator[pd.DataFrame]:
+    at = [(i, j) for i in range(P) for j in range(i, P)]
     for df in batches:
         rows = []
         for r in df.to_dict("records"):
@@ -167,8 +177,8 @@ def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, j in at:
                 cov[i, j] = cov[j, i] = r[f"q{i}_{j}"] / n - mean[i] * mean[j]
             cov = factor * cov + np.diag(FLOOR**2)
-            rows.append((r["_key"], n, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(rows, columns=["_key", "rows", "centre", "inverse"])
+            rows.append((r["_key"], r["_start"], n, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(rows, columns=["_key", "_start", "rows", "centre", "inverse", "logdet"])
 
 
 def fit(stats: DataFrame) -> DataFrame:
@@ -181,20 +191,29 @@ def fit(stats: DataFrame) -> DataFrame:
     start = median.join(mad, ["_key", "_f"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_f", "_med", "_limit"))).alias("_a"))
     floors = F.array(*map(F.lit, map(float, FLOOR)))
     spread = F.transform("_a", lambda x: 1.4826**2 * x["_limit"] * x["_limit"] + F.pow(F.get(floors, x["_f"]), F.lit(2.0)))
-    params = start.select(
+    robust = start.select(
         "_key",
+        F.lit(0).alias("_start"),
         F.lit(0).cast("long").alias("rows"),
         F.transform("_a", lambda x: x["_med"].cast("double")).alias("centre"),
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(P - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(P - 1)), lambda j: F.when(i == j, 1 / F.get(spread, i)).otherwise(0.0)))).alias("inverse"),
     )
-    params = stored(params)
     sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j]
-    for _ in range(STEPS):
-        binned = wide.join(params, "_key").withColumn("_d2", _distance2()).withColumn("_bin", _bin()).select("_key", "_bin", *FEATURES)
-        limit = _under(binned, ["_key"], SUPPORT)
-        moments = binned.join(limit, "_key").where("_bin <= _limit").groupBy("_key").agg(F.count("*").alias("rows"), *sums)
-        params = stored(moments.mapInPandas(_estimate, PARAMS))
-    return params
+    factor, group = _consistency(), ["_key", "_start"]
+    whole = wide.groupBy("_key").agg(F.count("*").alias("rows"), *sums).withColumn("_start", F.lit(1)).mapInPandas(lambda b: _estimate(b, 1.0), PARAMS)
+    # starts have no determinant to compare, since their rows are no support
+    best = stored(robust.unionByName(whole.drop("logdet")).withColumn("logdet", F.lit(None).cast("double")).withColumn("_moving", F.lit(True)))
+    while not best.where("_moving").isEmpty():
+        binned = wide.join(best.where("_moving"), "_key").withColumn("_d2", _distance2()).withColumn("_bin", _bin()).select(*group, "_bin", *FEATURES)
+        limit = _under(binned, group, SUPPORT)
+        moments = binned.join(limit, group).where("_bin <= _limit").groupBy(*group).agg(F.count("*").alias("rows"), *sums)
+        step = moments.mapInPandas(lambda b: _estimate(b, factor), PARAMS).select(*group, F.struct("rows", "centre", "inverse", "logdet").alias("_n"))
+        # a support that stays gives the same determinant; since it has to fall, the steps come to an end
+        falls = F.col("_n").isNotNull() & (F.col("logdet").isNull() | (F.col("_n.logdet") < F.col("logdet") - 1e-9))
+        old = F.struct("rows", "centre", "inverse", "logdet")
+        best = stored(best.join(step, group, "left").select(*group, F.when(falls, F.col("_n")).otherwise(old).alias("_b"), falls.alias("_moving")).select(*group, "_b.*", "_moving"))
+    least = F.min_by(F.struct("rows", "centre", "inverse"), F.struct("logdet", "_start"))
+    return stored(best.groupBy("_key").agg(least.alias("_b")).select("_key", "_b.*"))
 
 
 def choose(stats: DataFrame, params: DataFrame) -> DataFrame:

@@ -313,3 +313,37 @@ def test_pipeline_stages(docs, labels, spark, tmp_path):
         out.write.parquet(f"{sf}/{k}")
         here = spark.read.parquet(f"{sf}/{k}")
     assert here.count() > 0 and here.count() == corpus_pipeline.run(spark, sf).count()
+
+
+def test_cut_is_the_chi_square_quantile(spark):
+    from lodestream.llm import outliers
+
+    assert abs(outliers.CUTOFF - 22.4577) < 1e-3
+    # half of the lines stand twice: far from texts without repeats, though not farther than 60
+    lines = lambda i: [prose(10, 50 * i + k) for k in range(20)]
+    rows = [(i, "\n".join(lines(i)), "en", "s") for i in range(300)]
+    rows += [(900 + i, "\n".join(x for k, x in enumerate(lines(400 + i)) for _ in range(2 if k < 4 else 1)), "en", "s") for i in range(10)]
+    got = {r["doc_id"]: r for r in outliers.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert all(not got[900 + i]["base_failed"] and got[900 + i]["distance2"] < 60 and not got[900 + i]["kept"] for i in range(10))
+
+
+def test_steps_end_where_the_support_stays(spark):
+    import numpy as np
+
+    from lodestream.llm import outliers
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (300, 6)) * 900 + 5000, rng.normal(0, 1, (20, 6)) * 100 + 12000]).round().astype(int).tolist()
+    cols = ", ".join(f"{c} long" for c in outliers.FEATURES)
+    params = outliers.fit(spark.createDataFrame([("en", "s", *r) for r in x], f"lang string, source string, {cols}"))
+    got = params.where("_key = 'A'").first()
+    # one more step by hand gives no smaller determinant
+    inverse = np.array(got["inverse"]).reshape(6, 6)
+    d = np.array(x) - np.array(got["centre"])
+    d2 = np.einsum("ij,jk,ik->i", d, inverse, d)
+    bins = np.floor(64 * np.log2(1 + d2))
+    near = np.array(x)[bins <= np.sort(bins)[-(-len(x) * 3 // 4) - 1]]
+    cov = outliers._consistency() * np.cov(near.T, bias=True) + np.diag(outliers.FLOOR**2)
+    assert np.linalg.slogdet(cov)[1] >= -np.linalg.slogdet(inverse)[1] - 1e-6
+    assert (d2[300:] > outliers.CUTOFF).all()
