@@ -47,13 +47,17 @@ def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.drill(table(spark, sf_dir, "pages"))
 
 
+def op9_fixity_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.drill_moved(table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op6_token_counts": op6_token_counts, "op9_fixity_audit": op9_fixity_audit, "op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources}
+    return {"op1_license_scan": op1_license_scan, "op6_token_counts": op6_token_counts, "op9_fixity_audit": op9_fixity_audit, "op7_media_gif": op7_media_gif, "op5_token_files": op5_token_files, "op2_byte_bpe": op2_byte_bpe, "op10_jaccard_join": op10_jaccard_join, "op3_quality_classifier": op3_quality_classifier, "op8_quality_rules": op8_quality_rules, "op4_mix_sources": op4_mix_sources, "op9_fixity_moved": op9_fixity_moved}
 
 
 def oracle_sql() -> dict:
-    return {"op4_mix_sources": mixing.SQL, "op9_fixity_audit": fixity.SQL}
+    return {"op4_mix_sources": mixing.SQL, "op9_fixity_audit": fixity.SQL, "op9_fixity_moved": fixity.SQL_MOVED}

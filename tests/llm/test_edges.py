@@ -347,3 +347,12 @@ def test_steps_end_where_the_support_stays(spark):
     cov = outliers._consistency() * np.cov(near.T, bias=True) + np.diag(outliers.FLOOR**2)
     assert np.linalg.slogdet(cov)[1] >= -np.linalg.slogdet(inverse)[1] - 1e-6
     assert (d2[300:] > outliers.CUTOFF).all()
+
+
+def test_fixity_of_moved_records(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{'x' * (i % 40)}{i}</p>") for i in range(700)] + [(None, None, None), (-40, "u", "v")] + [(6, "u", "same")] * 3
+    schema = "page_id long, url string, html string"
+    a = fixity.tree(spark.createDataFrame(rows, schema), 3)
+    other = [(i, u, h + "longer" if i == 301 else h) for i, u, h in rows if i != 100] + [(6, "u", "same"), (1000, "u", "more"), (None, "u", "other")]
+    got = {(r["page_id"], r["hash_a"] is None, r["hash_b"] is None) for r in fixity.audit(a, fixity.tree(spark.createDataFrame(other, schema), 3)).collect()}
+    assert got == {(100, False, True), (301, False, False), (6, True, False), (1000, True, False), (None, True, False)}
