@@ -260,8 +260,13 @@ def frames(raw: bytes, compose: bool = True) -> Iterator[Frame]:
 
 
 def histogram(f: Frame) -> np.ndarray:
-    """Samples in each of BINS**3 cells of the colour cube, transparent ones left out."""
+    """Pixels of the canvas in each of BINS**3 cells of the colour cube, transparent ones left out; without canvas, the stored samples."""
     used = np.bincount(f.indices.ravel(), minlength=256)[:256]
+    clear = f.transparent >= 0 and used[f.transparent] > 0
+    # an opaque frame over all of the canvas is what is seen
+    if f.canvas.size and (clear or f.left or f.top or f.indices.shape != f.canvas.shape[:2]):
+        c = (f.canvas[f.canvas[..., 3] > 0][:, :3].astype(np.int64) * BINS) >> 8
+        return np.bincount((c[:, 0] * BINS + c[:, 1]) * BINS + c[:, 2], minlength=BINS**3).astype(np.int64)
     if f.transparent >= 0:
         used[f.transparent] = 0
     p = np.zeros((256, 3), np.int64)
@@ -313,7 +318,7 @@ def described(media: DataFrame, keep: list[str]) -> DataFrame:
             return (None,) * 7 + ("no media",)
         timed, parts, total = [], [], np.zeros(BINS**3, np.int64)
         try:
-            for f in frames(raw, compose=False):
+            for f in frames(raw):
                 h = histogram(f)
                 total += h
                 parts.append(f.indices.tobytes())

@@ -109,3 +109,13 @@ def test_broken_files():
     for bad in (b"", b"PNG", good[:-20], good[:900]):
         with pytest.raises((ValueError, IndexError, struct.error)):
             list(gif.frames(bad, compose=False))
+
+
+def test_described_counts_what_is_seen(spark):
+    shared = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
+    raw = b"GIF89a" + struct.pack("<HHBBB", 4, 2, 0x80 | 1, 0, 0) + shared
+    raw += frame(np.ones((2, 4), int)) + frame(np.array([[2, 0]]), 1, 0, dispose=2, transparent=0) + frame(np.array([[3]]), 0, 1, delay=7) + b"\x3b"
+    got = gif.described(spark.createDataFrame([(1, bytearray(raw))], "doc_id long, media binary"), ["doc_id"]).first()
+    red, green, blue = 48, 12, 3
+    seen = [{i: n for i, n in enumerate(f["histogram"]) if n} for f in got["frames"]]
+    assert seen == [{red: 8}, {red: 7, green: 1}, {red: 5, blue: 1}] and [f["delay_ms"] for f in got["frames"]] == [50, 50, 70]
