@@ -68,6 +68,12 @@ def set_cardinality(spark, d):
     return metrics.set_cardinality(s, ["day", "name"], "user_id")
 
 
+@query()
+def set_cardinality_all(spark, d):
+    """Over all events; large groups are estimated, so no SQL gives the same."""
+    return metrics.set_cardinality(samples(spark, d).withColumn("day", F.expr("w div 86400")), ["day", "name"], "user_id")
+
+
 @query()
 def set_cardinality_estimated(spark, d):
     return metrics.set_cardinality(samples(spark, d), ["name"], "event_id")
@@ -626,6 +632,11 @@ def sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", S.sanitize(F.substring("html", 1, 200)).alias("clean"))
 
 
+@query("SELECT page_id, translate(html, '<>', '[]') AS clean FROM pages")
+def sanitize_all(spark, d):
+    return table(spark, d, "pages").select("page_id", S.sanitize(F.col("html")).alias("clean"))
+
+
 @query("SELECT p_partkey, (p_size * power(1024, p_partkey % 5))::BIGINT AS bytes FROM part")
 def size_parse(spark, d):
     unit = F.element_at(F.array(*map(F.lit, ["", "K", "M", "G", "T"])), (F.col("p_partkey") % 5 + 1).cast("int"))

@@ -243,3 +243,16 @@ def test_sinks_each_writer_gets_every_row(spark, tmp_path):
     sinks.each(sinks.to_text(f"{tmp_path}/a"), sinks.to_text(f"{tmp_path}/b"), sinks.to_command(["sh", "-c", f"cat > {tmp_path}/c"]))(df, 0)
     assert {r[0] for r in spark.read.text(f"{tmp_path}/a/batch=0").collect()} == {r[0] for r in spark.read.text(f"{tmp_path}/b").select("value").collect()} == {"x", "y"}
     assert sorted((tmp_path / "c").read_text().split()) == ["x", "y"]
+
+
+def test_whole_tables(spark):
+    from lodestream.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {r["page_id"]: r["clean"] for r in queries.QUERIES["sanitize_all"](spark, d).collect()}
+    assert got == {r["page_id"]: r["html"].replace("<", "[").replace(">", "]") for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    want = {}
+    for r in queries.samples(spark, d).collect():
+        want.setdefault((r["w"] // 86400, r["name"]), set()).add(r["user_id"])
+    got = {(r["day"], r["name"]): r["members"] for r in queries.QUERIES["set_cardinality_all"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - len(v)) <= 0.1 * len(v) for k, v in want.items())
