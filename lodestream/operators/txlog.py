@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: bits of a record's kind
 CREATE, DELETE, UPDATE, SKIP_BTN, VERSION_EXPUNGE, EXPUNGE, ISGW = 1, 2, 4, 0x100, 0x200, 0x400, 0x1000
@@ -77,20 +81,39 @@ def clamped_rollup(log: DataFrame, keys: list[str], order: list[str]) -> DataFra
     """Bucket size and count in log order, never below 0: an update that would go below stops at 0, a delete of
     more than there is leaves the size and still counts.
 
-    The order matters, so each bucket's changes fold in order; only (order, kind, delta) of a bucket is
-    gathered. Buckets whose running sums never go below 0 need no fold: ``plain_rollup`` gives the same.
+    The order matters, so each bucket's changes are dealt to one task, sorted there (on disk if need be) and
+    folded as a stream, with one (size, objects) as state. A null kind is none, a null delta sets the size to 0.
     """
-    step = F.struct(*order, F.col("trtype").alias("t"), F.col("deltasize").alias("d"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("objects"))
-
-    def merge(acc: Column, x: Column) -> Column:
-        gone = x["t"].bitwiseAND(DELETE) != 0
-        size = F.when(gone & (-x["d"] > acc["size"]), acc["size"]).otherwise(F.greatest(acc["size"] + x["d"], F.lit(0)))
-        n = F.when(gone, acc["objects"] - 1).when(x["t"].bitwiseAND(CREATE) != 0, acc["objects"] + 1).otherwise(acc["objects"])
-        return F.struct(size.cast("long").alias("size"), F.greatest(n, F.lit(0)).cast("long").alias("objects"))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(step)), start, merge)
-    return log.groupBy(*keys).agg(folded.alias("r")).select(*keys, "r.size", "r.objects")
+    rest = [c for c in ("trtype", "deltasize") if c not in (*keys, *order)]
+    rows = log.select(*dict.fromkeys([*keys, *order, *rest])).repartition(*keys).sortWithinPartitions(*dict.fromkeys([*keys, *order, "trtype", "deltasize"]))
+    schema = T.StructType([log.schema[c] for c in keys] + [T.StructField("size", T.LongType()), T.StructField("objects", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key, size, n, kinds = None, None, 0, 0, None
+        for rb in batches:
+            kinds = [rb.schema.field(c).type for c in keys] + [pa.int64(), pa.int64()]
+            done = []
+            for k, t, d in zip(zip(*(rb.column(c).to_pylist() for c in keys)), rb.column("trtype").to_pylist(), rb.column("deltasize").to_pylist()):
+                if k != key or now is None:
+                    if now:
+                        done.append((*key, size, n))
+                    now, key, size, n = True, k, 0, 0
+                t = t or 0
+                gone = t & DELETE
+                if d is None:
+                    size = 0
+                elif not (gone and -d > size):
+                    size = max(size + d, 0)
+                n = max(n - 1, 0) if gone else n + 1 if t & CREATE else n
+            if done:
+                yield _rows(done, kinds)
+        if now:
+            yield _rows([(*key, size, n)], kinds)
+
+    def _rows(done: list[tuple], kinds: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds)], names=[*keys, "size", "objects"])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def search(log: DataFrame, start: int, end: int, increment: int, max_batches: int, where: Column) -> DataFrame:

@@ -256,3 +256,11 @@ def test_whole_tables(spark):
         want.setdefault((r["w"] // 86400, r["name"]), set()).add(r["user_id"])
     got = {(r["day"], r["name"]): r["members"] for r in queries.QUERIES["set_cardinality_all"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - len(v)) <= 0.1 * len(v) for k, v in want.items())
+
+
+def test_clamped_rollup_gathers_no_bucket(spark):
+    log = spark.range(20_000).selectExpr("if(id % 3 = 0, 'a', null) AS b", "id AS seq", "CAST(1 AS int) AS trtype", "if(id = 9, null, id % 5) AS deltasize")
+    got = txlog.clamped_rollup(log, ["b"], ["seq"])
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = {b: (sum(i % 5 for i in range(20_000) if (i % 3 == 0) == (b == "a") and (b is None or i > 9)), sum((i % 3 == 0) == (b == "a") for i in range(20_000))) for b in ("a", None)}
+    assert {r["b"]: (r["size"], r["objects"]) for r in got.collect()} == want
