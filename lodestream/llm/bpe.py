@@ -1,22 +1,25 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding: texts are split by the public pattern. Words that come again and again are counted first,
-and the most frequent ones (at most ``MAX_HOT``, a documented bound) are encoded once and broadcast as
-a dictionary. Then each task cuts its rows into chunks and hands over the chunk's other distinct words
-as byte arrays. In both places Spark higher-order functions fold the ranked merges over the distinct
-words' byte arrays: the fold holds the word's ids and the ranks of its neighbouring pairs,
-takes the least rank (the leftmost on a tie), joins that pair and looks up the two new neighbours.
+Encoding: texts are split by the public pattern. Words that come again are counted first, and the most
+frequent ones (at most ``MAX_HOT``, a documented bound) are encoded once and broadcast as a dictionary.
+Then each task cuts its rows into chunks and hands over the chunk's other distinct words as byte arrays.
+In both places Spark higher-order functions fold the ranked merges over the distinct words' byte arrays.
+The fold holds one number for each part of a word: the rank of the pair that begins there, its place
+and its id. So the least number is the pair of least rank, the leftmost on a tie; it is joined, and two
+new neighbours are looked up. Words of more than ``LONG`` bytes are folded in blocks: a step then looks at
+the blocks' least numbers and at one block, and a merge at a block's edge first joins it to its neighbours.
 The rank map is a literal of the plan: for each pair of ids whose bytes together are a token, the
 token's rank, laid out as two hashed arrays so that a look-up reads at most two places. Last, the
 words' ids go back to their places in the texts. Texts are never shuffled, and a lost task is redone
-alone. Which words are in the dictionary changes the cost and never the result.
+alone. Which words are in the dictionary changes the cost and never the result; words are told apart by
+their bytes, also where their hashes agree.
 
-Decoding concatenates the ids' binary pieces, also by higher-order functions (as hexadecimal digits
-on the way, since arrays of strings can be joined in one go).
+Decoding concatenates the ids' binary pieces, also by higher-order functions.
 
 Defined results: a null text is an empty text and has no ids; repeated rows are encoded alike; an
 empty table gives an empty table; kept columns pass through unchanged, whatever their names (the ids'
-column replaces one of its own name); a decoded id that the vocabulary lacks gives null.
+column replaces one of its own name); a decoded id that the vocabulary lacks gives null. A word may be as
+long as a text: 200,000 letters without a blank take about half a minute, and more grow faster than in proportion.
 """
 
 from __future__ import annotations
@@ -37,9 +40,10 @@ from ..session import most_frequent, stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, MAX_HOT = 1 << 22, 1 << 20
-NONE = 2147483647
-SHIFT = 65536
+CHUNK_BYTES, MAX_HOT, LONG = 1 << 21, 1 << 20, 256
+NONE = SHIFT = 65536  # ids and ranks are below; as a rank: no token
+FREE = (1 << 48) - 1  # the key of no pair
+PLACE, RANK = 16, 46  # bits below a part's place, and below the rank of its pair
 
 
 def default_path() -> str:
@@ -57,18 +61,18 @@ def ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays of key * SHIFT + rank (or -1), key = left * SHIFT + right, at key modulo the array's size."""
+    """Two arrays of key * SHIFT + rank (or FREE), key = left * SHIFT + right, at key modulo the array's size."""
     rank = ranks(path)
     pairs = {rank[t[:i]] * SHIFT + rank[t[i:]]: r for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank}
     size = [s | 1 for s in (int(len(pairs) * 1.3) + 7, int(len(pairs) * 1.3) + 1234)]
     while True:
-        tables = [np.full(s, -1, np.int64) for s in size]
+        tables = [np.full(s, FREE, np.int64) for s in size]
         for key, r in pairs.items():
             entry, side = key * SHIFT + r, 0
             for _ in range(500):
                 at = (entry // SHIFT) % size[side]
                 entry, tables[side][at] = int(tables[side][at]), entry
-                if entry < 0:
+                if entry == FREE:
                     break
                 side = 1 - side
             else:
@@ -112,40 +116,61 @@ def encode_words(words: Column, path: str) -> Column:
         _literal([rank.get(bytes([b]), NONE) for b in range(256)], "int").alias("b"), _literal(one.tolist(), "bigint").alias("t1"), _literal(two.tolist(), "bigint").alias("t2")
     )
     odd = [(list(t), rank[t]) for t in unreachable(path)]
-
-    def looked_up(t: Column, left: Column, right: Column) -> Column:
-        def found(key: Column) -> Column:
-            e1 = F.get(t["t1"], (key % len(one)).cast("int"))
-            e2 = F.get(t["t2"], (key % len(two)).cast("int"))
-            hit = lambda e: F.shiftright(e, 16) == key
-            return F.when(hit(e1), e1 % SHIFT).otherwise(F.when(hit(e2), e2 % SHIFT).otherwise(F.lit(NONE).cast("long"))).cast("int")
-
-        return _let(left.cast("long") * SHIFT + right.cast("long"), found)
-
-    empty = F.array().cast("array<int>")
-
-    def step(t: Column, acc: Column) -> Column:
-        def at(m: Column, p: Column) -> Column:
-            i, r = acc["i"], acc["r"]
-            tail = F.greatest(F.size(i) - p - 1, F.lit(0))
-            ids = F.concat(F.slice(i, F.lit(1), p - 1), F.array(m), F.slice(i, p + 2, tail))
-            before = F.when(p > 1, F.array(looked_up(t, F.get(i, p - 2), m))).otherwise(empty)
-            after = F.when(tail > 0, F.array(looked_up(t, m, F.get(i, p + 1)))).otherwise(empty)
-            near = F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), before, after, F.slice(r, p + 2, F.greatest(tail - 1, F.lit(0))))
-            return F.struct(ids.alias("i"), near.alias("r"))
-
-        return _let(F.array_min(acc["r"]), lambda m: F.when(m.isNull() | (m == NONE), acc).otherwise(_let(F.array_position(acc["r"], m).cast("int"), lambda p: at(m, p))))
+    bits = lambda x, k: x.bitwiseAND(F.lit((1 << k) - 1).cast("long"))
+    none, one_ = F.lit(NONE).cast("long"), F.lit(1)
+
+    def pair(t: Column, left: Column, right: Column) -> Column:
+        """The rank of a pair of ids, in its place of a part's number; NONE if an id is null.
+
+        An entry and the key differ in the rank's bits only if the entry is the key's. (No lambdas here: Spark's
+        analysis takes twice as long for each level of them.)
+        """
+        key = F.shiftleft(left, 16).bitwiseOR(right)
+        differ = lambda name, size: F.get(t[name], (key % size).cast("int")).bitwiseXOR(F.shiftleft(key, 16))
+        return F.shiftleft(F.least(differ("t1", len(one)), differ("t2", len(two)), none), RANK)
+
+    def merged(t: Column, parts: Column, m: Column, p: Column) -> Column:
+        """parts after the one at p (from 1), whose number is m, is joined with the next."""
+        made, before = F.shiftright(m, RANK), F.get(parts, p - 2)
+        own = pair(t, made, bits(F.get(parts, p + 1), PLACE)) + (bits(m, RANK) - bits(m, PLACE)) + made
+        both = F.when(p > 1, F.array(pair(t, bits(before, PLACE), made) + bits(before, RANK), own)).otherwise(F.array(own))
+        return F.concat(F.slice(parts, one_, F.greatest(p - 2, F.lit(0))), both, F.slice(parts, p + 2, F.size(parts)))
+
+    def step(t: Column, parts: Column) -> Column:
+        then = lambda m: F.when(m < (NONE << RANK), _let(F.array_position(parts, m).cast("int"), lambda p: merged(t, parts, m, p))).otherwise(parts)
+        return _let(F.array_min(parts), then)
+
+    def blocks_of(arrays: Column) -> Column:
+        return F.transform(arrays, lambda a: F.struct(a.alias("a"), F.array_min(a).alias("m")))
+
+    def block_step(t: Column, blocks: Column) -> Column:
+        n, least = F.size(blocks), F.transform(blocks, lambda x: x["m"])
+
+        def placed(m: Column, b: Column, p: Column) -> Column:
+            parts, first = F.get(blocks, b - 1)["a"], F.greatest(b - 1, one_)
+            inside = ((p > 1) | (b == 1)) & ((p + 2 <= F.size(parts)) | (b == n))
+            done = F.array(merged(t, parts, m, p))
+            joined = F.array(F.flatten(F.transform(F.slice(blocks, first, b + 2 - first), lambda x: x["a"])))
+            a, z = F.when(inside, b).otherwise(first), F.when(inside, b + 1).otherwise(b + 2)
+            return F.concat(F.slice(blocks, one_, a - 1), blocks_of(F.when(inside, done).otherwise(joined)), F.slice(blocks, z, n))
+
+        at = lambda m, b: _let(F.array_position(F.get(blocks, b - 1)["a"], m).cast("int"), lambda p: placed(m, b, p))
+        then = lambda m: F.when(m < (NONE << RANK), _let(F.array_position(least, m).cast("int"), lambda b: at(m, b))).otherwise(blocks)
+        return _let(F.array_min(least), then)
 
     def fold(t: Column, word: Column) -> Column:
-        def begin(i: Column) -> Column:
-            n = F.size(i)
-            r = F.zip_with(F.slice(i, F.lit(1), n - 1), F.slice(i, F.lit(2), n - 1), lambda a, b: looked_up(t, a, b))
-            return F.aggregate(F.array_repeat(F.lit(0), n - 1), F.struct(i.alias("i"), r.alias("r")), lambda acc, _: step(t, acc), lambda acc: acc["i"])
-
-        merged = _let(F.transform(word, lambda b: F.get(t["b"], b)), begin)
+        n = F.size(word)
+        byte = lambda b: F.get(t["b"], b).cast("long")
+        part = lambda b, k: pair(t, byte(b), byte(F.get(word, k + 1))) + F.shiftleft(k.cast("long"), PLACE) + byte(b)
+        ids = lambda parts: F.transform(parts, lambda x: bits(x, PLACE).cast("int"))
+        out = F.aggregate(F.array_repeat(F.lit(0), n - 1), F.transform(word, part), lambda acc, _: step(t, acc), ids)
+        cut = F.transform(F.sequence(F.lit(0), n - 1, F.lit(LONG)), lambda k: F.transform(F.slice(word, k + 1, F.lit(LONG)), lambda b, j: part(b, k + j)))
+        steps = F.array_repeat(F.lit(0), n + F.ceil(n / LONG).cast("int"))
+        long = F.aggregate(steps, blocks_of(cut), lambda acc, _: block_step(t, acc), lambda acc: ids(F.flatten(F.transform(acc, lambda x: x["a"]))))
+        out = F.when(n <= LONG, out).otherwise(long)
         for bytes_, r in odd:
-            merged = F.when(word == F.array(*map(F.lit, bytes_)), F.array(F.lit(r))).otherwise(merged)
-        return merged
+            out = F.when(word == F.array(*map(F.lit, bytes_)), F.array(F.lit(r))).otherwise(out)
+        return out
 
     return F.get(F.transform(F.array(tables), lambda t: F.transform(words, lambda w: fold(t, w))), F.lit(0))
 
@@ -158,9 +183,16 @@ def _pack(table: pa.RecordBatch) -> bytes:
 
 
 class Hot(NamedTuple):
-    hashes: np.ndarray  # sorted
+    """Frequent words in order of their hashes."""
+
+    hashes: np.ndarray
+    edge: np.ndarray  # where each word's bytes begin; len = words + 1
+    flat: np.ndarray
+
+
+class HotIds(NamedTuple):
     edge: np.ndarray  # where each word's ids begin; len = words + 1
-    ids: np.ndarray
+    flat: np.ndarray
 
 
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -170,88 +202,88 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.array([0, len(lists)], np.int32)), lists)
 
 
-def _distinct_words(batch: tv.Batch) -> tuple[tv.Spans, np.ndarray, tuple[np.ndarray, ...]]:
-    """Spans of the words of some texts, which distinct word each is, and the distinct words' hashes, counts, sizes and bytes."""
-    s = tv.pretokens(batch)
-    known, first, where, often = np.unique(tv.span_hash(batch.buf, s.start, s.end), return_index=True, return_inverse=True, return_counts=True)
-    size = s.end[first] - s.start[first]
-    return s, where, (known, often, size, tv.gather(batch.buf, s.start[first], size))
-
+def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offs = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, offs, pa.py_buffer(flat.tobytes())])
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct words of several parts: hashes, counts, sizes, where their bytes begin, all bytes, and for each part's words the place here."""
-    h, often, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-    known, one, where = np.unique(h, return_index=True, return_inverse=True)
-    return known, np.bincount(where, weights=often, minlength=len(known)).astype(np.int64), size[one], begin[one], flat, where
 
-
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that come at least twice in a batch, with their counts there."""
+@tv.lean
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of up to 64 bytes of each batch, with their counts there."""
     for rb in batches:
-        parts = [_distinct_words(tv.from_arrow(part.column("text")))[2] for part in tv.slices([rb], most=1 << 20)]
-        if not parts:
-            continue
-        _, often, size, begin, flat, _ = _merged(parts)
-        twice = often > 1
-        size, got = size[twice], tv.gather(flat, begin[twice], size[twice])
-        offs = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes())
-        word = pa.Array.from_buffers(pa.binary(), len(size), [None, offs, pa.py_buffer(got.tobytes())])
-        yield pa.RecordBatch.from_arrays([word, pa.array(often[twice])], names=["word", "n"])
-
-
+        parts = []
+        for part in tv.slices([rb]):
+            b = tv.from_arrow(part.column("text"))
+            s = tv.pretokens(b)
+            size = s.end - s.start
+            start, end = s.start[size <= 64], s.end[size <= 64]
+            h, first, often = np.unique(tv.span_hash(b.buf, start, end), return_index=True, return_counts=True)
+            size = end[first] - start[first]
+            parts.append((h, often, size, tv.gather(b.buf, start[first], size)))
+        if parts:
+            h, often, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            begin = np.cumsum(size) - size
+            # words that share a hash are counted as one of them here: that concerns only which words are in the dictionary
+            known, one, where = np.unique(h, return_index=True, return_inverse=True)
+            count = np.bincount(where, weights=often, minlength=len(known)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_binaries(tv.gather(flat, begin[one], size[one]), size[one]), pa.array(count)], names=["word", "n"])
+
+
+@tv.lean
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         b = tv.from_arrow(rb.column("word"))
-        h = tv.span_hash(b.buf, b.offs[:-1], b.offs[1:])
-        yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()], pa.binary()), _lists(b.buf, np.diff(b.offs))], names=["hashes", "words"])
+        sizes = np.diff(b.offs)
+        yield pa.RecordBatch.from_arrays([pa.array([sizes.astype("<u4").tobytes()], pa.binary()), pa.array([b.buf.tobytes()], pa.binary()), _lists(b.buf, sizes)], names=["lengths", "flat", "words"])
 
 
+@tv.lean
 def _as_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         for k in range(rb.num_rows):
             ids = rb.column("ids").slice(k, 1).flatten()
             sizes = np.diff(ids.offsets.to_numpy()).astype("<u4").tobytes()
-            flat = ids.flatten().to_numpy().astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([rb.column("hashes").slice(k, 1), pa.array([sizes], pa.binary()), pa.array([flat], pa.binary())], names=["hashes", "sizes", "ids"])
+            flat = ids.flatten().to_numpy().astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([rb.column("lengths").slice(k, 1), rb.column("flat").slice(k, 1), pa.array([sizes], pa.binary()), pa.array([flat], pa.binary())], names=["lengths", "flat", "sizes", "ids"])
 
 
-def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> Hot:
-    """The frequent words' ids: at most ``most`` words."""
-    counts = docs.select("text").mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= 64)
-    counts = stored(counts)
-    hot = most_frequent(counts, "n", most).select("word")
-    rows = hot.mapInArrow(_as_bytes, "hashes binary, words array<array<int>>").select("hashes", encode_words(F.col("words"), path).alias("ids"))
-    got = rows.mapInArrow(_as_blobs, "hashes binary, sizes binary, ids binary").toArrow()
-    h, sizes, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), t) for c, t in (("hashes", np.uint64), ("sizes", "<u4"), ("ids", "<u4")))
-    begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
-    order = np.argsort(h)
-    sizes = sizes[order].astype(np.int64)
-    return Hot(h[order], np.concatenate([[0], np.cumsum(sizes)]), tv.gather(ids, begin[order], sizes).astype(np.int32))
+def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, HotIds]:
+    """The frequent words and their ids: at most ``most`` words of at most 64 bytes, each twice or more in all texts."""
+    counts = docs.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    hot = most_frequent(stored(counts), "n", most).select("word")
+    rows = hot.mapInArrow(_as_bytes, "lengths binary, flat binary, words array<array<int>>").select("lengths", "flat", encode_words(F.col("words"), path).alias("ids"))
+    got = rows.mapInArrow(_as_blobs, "lengths binary, flat binary, sizes binary, ids binary").toArrow()
+    lengths, flat, sizes, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), t) for c, t in (("lengths", "<u4"), ("flat", np.uint8), ("sizes", "<u4"), ("ids", "<u2")))
+    lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
+    begin, id_begin = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+    h = tv.span_hash(flat, begin, begin + lengths)
+    order = np.argsort(h, kind="stable")
+    edge = lambda x: np.concatenate([[0], np.cumsum(x[order])]).astype(np.int32)
+    return Hot(h[order], edge(lengths), tv.gather(flat, begin[order], lengths[order])), HotIds(edge(sizes), tv.gather(ids, id_begin[order], sizes[order]))
 
 
 def chunks(docs: DataFrame, keep: list[str], hot, most: int = CHUNK_BYTES) -> DataFrame:
     """A row for each chunk: kept columns, words in each text, which word stands where, and the words that the dictionary lacks as byte arrays."""
     source = docs.select(*dict.fromkeys([*keep, "text"]))
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = hot.value.hashes
+        have = hot.value
         for rb in tv.slices(batches, most=most):
-            parts, counts, places = [], [], []
-            for part in tv.slices([rb], most=1 << 20):
-                spans, where, words = _distinct_words(tv.from_arrow(part.column("text")))
-                parts.append(words)
-                counts.append(tv.counts(spans.doc, part.num_rows).astype("<u4"))
-                places.append(where.astype(np.int32))
-            known, _, size, begin, flat, there = _merged(parts)
-            at = np.searchsorted(have, known)
-            cold = np.ones(len(known), bool) if not len(have) else have[np.minimum(at, len(have) - 1)] != known
-            at[cold] = len(have) + np.arange(cold.sum())
-            lists = _lists(tv.gather(flat, begin[cold], size[cold]), size[cold])
-            ends = np.cumsum([len(p[0]) for p in parts])
-            where = b"".join(at[there[e - len(p[0]) : e]][w].astype("<u4").tobytes() for e, p, w in zip(ends, parts, places))
-            row = [*(pa.array([x], pa.binary()) for x in (_pack(rb.select(keep)), np.concatenate(counts).tobytes(), where)), lists]
-            yield pa.RecordBatch.from_arrays(row, names=["rest", "counts", "places", "words"])
+            b = tv.from_arrow(rb.column("text"))
+            s = tv.pretokens(b)
+            h, first, where = tv.distinct_spans(b.buf, s.start, s.end)
+            start, size = s.start[first], s.end[first] - s.start[first]
+            at, cold = np.zeros(len(h), np.int64), np.ones(len(h), bool)
+            if len(have.hashes):
+                at = np.minimum(np.searchsorted(have.hashes, h), len(have.hashes) - 1)
+                begin = have.edge[at].astype(np.int64)
+                likely = np.flatnonzero((have.hashes[at] == h) & (have.edge[at + 1] - begin == size))
+                cold[likely[tv.same_bytes(b.buf, start[likely], have.flat, begin[likely], size[likely])]] = False
+            at[cold] = len(have.hashes) + np.arange(cold.sum())
+            lists = _lists(tv.gather(b.buf, start[cold], size[cold]), size[cold])
+            blobs = _pack(rb.select(keep)), tv.counts(s.doc, rb.num_rows).astype("<u4").tobytes(), at[where].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in blobs), lists], names=["rest", "counts", "places", "words"])
 
     return source.mapInArrow(run, "rest binary, counts binary, places binary, words array<array<int>>")
 
@@ -260,29 +292,33 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     """The kept columns of docs (all, unless named) and the text's ids as array<int>."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     path = path or default_path()
-    hot = docs.sparkSession.sparkContext.broadcast(dictionary(docs, path, max_hot))
-    encoded = chunks(docs, keep, hot, most).select("rest", "counts", "places", encode_words(F.col("words"), path).alias("ids"))
+    words, ids_of = map(docs.sparkSession.sparkContext.broadcast, dictionary(docs, path, max_hot))
+    encoded = chunks(docs, keep, words, most).select("rest", "counts", "places", encode_words(F.col("words"), path).alias("ids"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = hot.value
+        hot = ids_of.value
+        n = len(hot.edge) - 1
         for rb in batches:
             for k in range(rb.num_rows):
                 rest = pa.ipc.open_stream(rb.column("rest")[k].as_buffer()).read_next_batch()
-                counts = np.frombuffer(rb.column("counts")[k].as_buffer(), "<u4").astype(np.int64)
-                places = np.frombuffer(rb.column("places")[k].as_buffer(), "<u4")
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(rb.column("counts")[k].as_buffer(), "<u4"), dtype=np.int64)])
+                places = np.frombuffer(rb.column("places")[k].as_buffer(), "<u4").astype(np.int64)
                 cold = rb.column("ids").slice(k, 1).flatten()
-                edge = np.concatenate([[0], np.cumsum(np.diff(cold.offsets.to_numpy()), dtype=np.int64)])
-                flat = np.concatenate([h.ids, cold.flatten().to_numpy()])
-                begin = np.concatenate([h.edge[:-1], edge[:-1] + len(h.ids)])
-                sizes = np.concatenate([np.diff(h.edge), np.diff(edge)])[places]
-                upto = np.concatenate([[0], np.cumsum(sizes)])
-                ends = np.concatenate([[0], np.cumsum(counts)])
+                edge, flat = cold.offsets.to_numpy().astype(np.int64), cold.values.to_numpy()
                 for a in range(0, rest.num_rows, 512):  # a part at a time: ids take more room than texts
                     part = ends[a : a + 513]
-                    w = slice(part[0], part[-1])
-                    tokens = tv.gather(flat, begin[places[w]], sizes[w]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array((upto[part] - upto[part[0]]).astype(np.int32)), pa.array(tokens))
+                    p = places[part[0] : part[-1]]
+                    own = p >= n
+                    begin, size = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+                    for mask, e, at in ((own, edge, p[own] - n), (~own, hot.edge, p[~own])):
+                        begin[mask], size[mask] = e[at], e[at + 1] - e[at]
+                    tokens = np.empty(int(size.sum()), np.int32)
+                    where = np.repeat(own, size)
+                    tokens[where], tokens[~where] = tv.gather(flat, begin[own], size[own]), tv.gather(hot.flat, begin[~own], size[~own])
+                    upto = np.concatenate([[0], np.cumsum(size)])[part - part[0]]
+                    lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(tokens))
                     yield pa.RecordBatch.from_arrays([*rest.slice(a, 512).columns, lists], names=[*keep, out])
 
     return encoded.mapInArrow(run, schema)
@@ -293,9 +329,11 @@ def decode(ids: Column, path: str | None = None) -> Column:
     rank = ranks(path or default_path())
     pieces = [""] * (max(rank.values()) + 1)
     for t, r in rank.items():
-        pieces[r] = t.hex()
-    joined = F.get(F.transform(F.array(_literal(pieces, "string")), lambda p: F.transform(ids, lambda i: F.get(p, i))), F.lit(0))
-    return F.unhex(F.when(~F.exists(joined, lambda x: x.isNull()), F.array_join(joined, "")))
+        pieces[r] = base64.b64encode(t).decode()
+    # a string may hold any bytes: pieces are joined as they are
+    joined = lambda p: F.transform(ids, lambda i: F.get(p, i).cast("string"))
+    whole = lambda j: F.when(~F.exists(j, lambda x: x.isNull()), F.array_join(j, "")).cast("binary")
+    return _let(_literal(pieces, "binary"), lambda p: _let(joined(p), whole))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

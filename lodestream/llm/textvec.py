@@ -5,6 +5,7 @@ Everything here works on one Arrow batch inside a task. Nulls count as empty tex
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import unicodedata
 from typing import NamedTuple
@@ -99,41 +100,80 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@functools.cache
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * _M(0x9E3779B97F4A7C15))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-_BASE = 0x5851F42D4C957F2D
-_INV = pow(_BASE, -1, 1 << 64)
-_pow = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The buffer as numbers of 8 bytes, with room behind its end."""
+    pad = np.zeros((len(buf) // 8 + 2) * 8, np.uint8)
+    pad[: len(buf)] = buf
+    return pad.view("<u8")
 
 
-def _powers(kind: str, n: int) -> np.ndarray:
-    have = _pow[kind]
-    if len(have) < n:
-        base = _M(_BASE if kind == "up" else _INV)
-        size = max(n, 2 * len(have), 1 << 16)
-        with np.errstate(over="ignore"):
-            have = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-        _pow[kind] = have
-    return have[:n]
+def _block(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number; only the first ``left`` of them count."""
+    word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    x = eights[word] >> shift
+    # two shifts, as one by 64 places would have no effect
+    x |= (eights[word + 1] << _M(1)) << (_M(63) - shift)
+    return x & _MASKS[np.minimum(left, 8)]
 
 
-_BLOCK = 1 << 22
+def _further(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of more than 8 bytes, and their blocks after the first: span, first of each, number in the span, place, bytes left."""
+    long = np.flatnonzero(size > 8)
+    more = (size[long] - 1) >> 3
+    first = np.cumsum(more) - more
+    k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+    return long, first, k, np.repeat(start[long], more) + 8 * k, np.repeat(size[long], more) - 8 * k
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes, equal hash, wherever they lie."""
-    out = np.zeros(len(start), np.uint64)
+    """64-bit hash of each span of bytes; equal bytes, equal hash, wherever they lie.
+
+    Blocks of 8 bytes go through a non-linear finaliser each, together with their number, before they are
+    added up, so that no pattern of bytes cancels out.
+    """
     if not len(start):
-        return out
-    n = len(buf)
+        return np.zeros(0, np.uint64)
+    eights, size = _eights(buf), end - start
     with np.errstate(over="ignore"):
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_byte_values()[buf] * _powers("up", n), out=prefix[1:])
-        out = (prefix[end] - prefix[start]) * _powers("down", n + 1)[start]
-        return mix(out + (end - start).astype(np.uint64) * _M(0xD6E8FEB86659FD93))
+        h = mix(_block(eights, start, size) + size.astype(np.uint64) * _M(0xD6E8FEB86659FD93))
+        long, first, k, at, left = _further(start, size)
+        if len(long):
+            part = mix(mix(_block(eights, at, left)) + k.astype(np.uint64) * _M(0x9E3779B97F4A7C15))
+            h[long] = mix(h[long] + np.add.reduceat(part, first))
+    return h
+
+
+def same_bytes(buf: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf from each start on and other from each begin on have the same ``size`` bytes."""
+    if not len(start):
+        return np.zeros(0, bool)
+    a = _eights(buf)
+    b = a if other is buf else _eights(other)
+    out = _block(a, start, size) == _block(b, begin, size)
+    long, first, k, at, left = _further(start, size)
+    if len(long):
+        there = at - np.repeat((start - begin)[long], (size[long] - 1) >> 3)
+        out[long] &= np.logical_and.reduceat(_block(a, at, left) == _block(b, there, left), first)
+    return out
+
+
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each different run of bytes, one span that has it, and which one each span has. Bytes are compared, not only hashes."""
+    h, first, where = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
+    rep, size = first[where], end - start
+    odd = np.flatnonzero((size != size[rep]) | ~same_bytes(buf, start, buf, start[rep], size))
+    if len(odd):
+        # of runs that share a hash, all but one get entries of their own
+        known: dict[bytes, int] = {}
+        where = where.copy()
+        for i in odd.tolist():
+            where[i] = len(first) + known.setdefault(buf[start[i] : end[i]].tobytes(), len(known))
+        extra = np.array([odd[np.flatnonzero(where[odd] == len(first) + k)[0]] for k in range(len(known))], np.int64)
+        h, first = np.concatenate([h, span_hash(buf, start[extra], end[extra])]), np.concatenate([first, extra])
+    return h, first, where
 
 
 def ngram_hash(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +185,7 @@ def ngram_hash(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     acc = np.zeros(len(first), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            acc = acc * _M(_BASE) + h[first + k]
+            acc = acc * _M(0x5851F42D4C957F2D) + h[first + k]
     return mix(acc), first
 
 
@@ -244,10 +284,24 @@ def pretokens(b: Batch) -> Spans:
     return Spans(start, end, rows_at(b, start))
 
 
-def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one span for each hash, and for each span its entry there."""
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return first, inverse.astype(np.int64)
+def lean(work):
+    """A function for mapInArrow that gives memory back to the system when its task ends: idle Python workers stay small."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
