@@ -1,23 +1,25 @@
 """Media columns: GIF files written, decoded and described.
 
-``store`` keeps a payload of bytes without loss as the samples of a GIF image: 64 samples a row, one
-byte each, with the grey palette, frames of at most 65,535 rows. Its LZW stream has a clear code
-before every 254 literals, so that codes stay 9 bits wide and whole frames are packed at once.
+``store`` keeps a payload of bytes without loss as the samples of a GIF animation: 64 samples a row, one
+byte each, with the grey palette, frames of at most ``FRAME_ROWS`` rows that are cleared away before the next.
+Its LZW stream has growing codes and a clear code wherever the table of 4,096 is full.
 
-``frames`` decodes any GIF: the LZW code stream (of other writers too: growing codes, full tables,
-clear and end codes, interlacing), palettes (global or local), transparency and disposal, into timed
-frames on the canvas, with a colour histogram each. While no code outgrows its first width, all codes
-lie at known bit positions and are read at once; streams that grow are read code by code.
+``frames`` decodes any GIF: the LZW code stream (of other writers too: full tables, early or missing clear
+codes, interlacing), palettes (global or local), transparency and disposal, into timed
+frames on the canvas, with a colour histogram each. Between two clear codes a code's width depends on its number
+alone, so the codes of a stretch are read together; a code's bytes then are a copy of bytes before it.
 
 Both run in Spark tasks, row by row, and nothing is shuffled.
 
 Defined results: a null text is an empty payload of 64 zero bytes; equal texts give equal files; a
-file that is cut short or is no GIF gives no frames and an error text; repeated rows are treated
-alike; an empty table gives an empty table; kept columns pass through unchanged.
+file that is cut short or is no GIF gives no frames and an error text, and so does one whose canvas has more
+than ``MAX_PIXELS``; repeated rows are treated alike; an empty table gives an empty table; kept columns pass
+through unchanged.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -31,26 +33,131 @@ from pyspark.sql import types as T
 
 from . import textvec as tv
 
-WIDTH, MAX_ROWS, LITERALS = 64, 65535, 254
+WIDTH, FRAME_ROWS, MAX_PIXELS = 64, 1024, 1 << 26
 BINS = 4  # for each of red, green, blue
+FULL, MAX_BITS = 4096, 12  # entries of a full table, bits of the longest codes
+
+
+# --- code streams ---
+
+
+@functools.cache
+def _widths(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each code after a clear code, and the bits before it. The second code and each later one add an entry."""
+    k = np.arange(FULL)
+    entries = (1 << size) + 2 + np.maximum(k - 1, 0)
+    bits = np.minimum(np.maximum(np.floor(np.log2(entries)).astype(np.int64) + 1, size + 1), MAX_BITS)
+    return bits, np.cumsum(bits) - bits
+
+
+def _packed(codes: np.ndarray, bits: np.ndarray) -> bytes:
+    """Codes of these many bits each, the lowest bit first."""
+    at = np.cumsum(bits) - bits
+    n = int(at[-1] + bits[-1])
+    out = np.zeros(-(-n // 8) + 4, np.uint8)
+    value = codes.astype(np.uint32) << (at & 7).astype(np.uint32)  # at most 19 bits: three bytes
+    first = at >> 3
+    for k in range(3):
+        # bits of neighbouring codes do not overlap, so that adding them up is joining them
+        out += np.bincount(first + k, weights=(value >> np.uint32(8 * k)) & np.uint32(255), minlength=len(out)).astype(np.uint8)
+    return out[: -(-n // 8)].tobytes()
+
+
+def lzw_encode(samples: bytes) -> bytes:
+    """A code stream of 8 bits a sample."""
+    clear = 256
+    widths, _ = _widths(8)
+    # codes stand 8 bits higher here, so that a key is a code and a sample; begins: where the stretches after clear codes begin
+    codes, begins = [clear << 8], [0]
+    table: dict[int, int] = {}
+    put, add, made = codes.append, table.setdefault, (clear + 2) << 8
+    now = samples[0] << 8
+    for b in samples[1:]:
+        code = add(now | b, made)
+        if code != made:
+            now = code
+            continue
+        put(now)
+        now = b << 8
+        if made < FULL << 8:
+            made += 256
+        else:
+            begins.append(len(codes))
+            put(clear << 8)
+            table.clear()
+            made = (clear + 2) << 8
+    put(now)
+    put((clear + 1) << 8)
+    # a clear code counts as the last one of the stretch before it
+    k = np.arange(len(codes)) - np.repeat(begins, np.diff([*begins, len(codes)])) - 1
+    again = np.array(begins[1:], np.int64)
+    k[again] = k[again - 1] + 1
+    k[0] = 0
+    return _packed(np.array(codes, np.uint32) >> np.uint32(8), widths[k])
+
+
+def _stretch(codes: np.ndarray, size: int) -> np.ndarray:
+    """Samples of the codes between two clear codes, all at once.
+
+    The entry that code i adds is its bytes and the byte after them, so a code stands for a copy of earlier
+    output, and where that copy comes from is followed back to single samples in a few doublings.
+    """
+    n, base = len(codes), (1 << size) + 2
+    entry = codes.astype(np.int64) - base
+    i = np.arange(n)
+    copy = entry >= 0
+    if (entry >= i).any():
+        raise ValueError("code beyond the table")
+    # bytes of each code: steps to a code that is a sample, and one
+    back, length = np.where(copy, entry, i), np.where(copy, 1, 0)
+    while (length[back] > 0).any():
+        length, back = length + length[back], back[back]
+    length += 1
+    begin = np.cumsum(length) - length
+    source = np.arange(int(begin[-1] + length[-1]))
+    k = np.flatnonzero(copy)
+    own = tv.gather(source, begin[k], length[k])
+    source[own] -= np.repeat(begin[k] - begin[entry[k]], length[k])
+    literal = np.zeros(len(source), np.uint8)
+    literal[begin[~copy]] = codes[~copy]
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return literal[source]
+        source = further
 
 
-# --- writing ---
+def lzw(data: bytes, size: int, most: int) -> np.ndarray:
+    """Decode a code stream with ``size`` bits a sample; about ``most`` samples are wanted."""
+    clear, end = 1 << size, (1 << size) + 1
+    widths, before = _widths(size)
+    pad = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    bits, at, parts, total = 8 * len(data), 0, [], 0
+    while total < most:
+        # codes up to the next clear code; after a full table all have the greatest width
+        codes, n, found = [], 0, np.zeros(0, np.int64)
+        while not len(found):
+            k = np.arange(n, n + FULL)
+            w = widths[np.minimum(k, FULL - 1)]
+            offset = at + before[np.minimum(k, FULL - 1)] + MAX_BITS * np.maximum(k - FULL + 1, 0)
+            held = int(np.searchsorted(offset + w, bits, side="right"))
+            first, shift = offset[:held] >> 3, (offset[:held] & 7).astype(np.uint32)
+            got = (pad[first] | pad[first + 1] << np.uint32(8) | pad[first + 2] << np.uint32(16)) >> shift & ((1 << w[:held]) - 1).astype(np.uint32)
+            found = np.flatnonzero((got == clear) | (got == end))[:1]
+            codes.append(got[: found[0]] if len(found) else got)
+            if held < FULL:
+                break
+            n += FULL
+        if codes := [c for c in codes if len(c)]:
+            parts.append(_stretch(np.concatenate(codes), size))
+            total += len(parts[-1])
+        if not len(found) or got[found[0]] == end:
+            break
+        at = int(offset[found[0]] + w[found[0]])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Codes of 9 bits, the lowest bit first: eight codes are nine bytes."""
-    n = len(codes)
-    full = np.zeros(-(-n // 8) * 8, np.uint64)
-    full[:n] = codes
-    c = full.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for i in range(1, 8):
-        low |= c[:, i] << np.uint64(9 * i)  # the last code's upper bits fall off
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8] = (c[:, 7] >> np.uint64(1)).astype(np.uint8)
-    return out.tobytes()[: -(-9 * n // 8)]
+# --- writing ---
 
 
 def _blocks(data: bytes) -> bytes:
@@ -64,27 +171,17 @@ def _blocks(data: bytes) -> bytes:
     return a.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def _lzw_literals(samples: np.ndarray) -> bytes:
-    n = len(samples)
-    groups = -(-n // LITERALS)
-    codes = np.full((groups, LITERALS + 1), 256, np.uint16)
-    flat = np.zeros(groups * LITERALS, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(groups, LITERALS)
-    return _pack9(np.append(codes.ravel()[: n + groups], 257))
-
-
 def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % WIDTH if text else WIDTH)
 
 
 def write(payload: bytes) -> bytes:
-    samples = np.frombuffer(payload, np.uint8)
-    rows = len(samples) // WIDTH
-    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MAX_ROWS), 0xF7, 0, 0), np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()]
-    for a in range(0, rows, MAX_ROWS):
-        z = min(rows, a + MAX_ROWS)
-        parts += [b"\x21\xf9\x04", struct.pack("<BHBB", 0, 10, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, z - a, 0), b"\x08", _blocks(_lzw_literals(samples[a * WIDTH : z * WIDTH]))]
+    rows = len(payload) // WIDTH
+    parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()]
+    for a in range(0, rows, FRAME_ROWS):
+        z = min(rows, a + FRAME_ROWS)
+        # 100 ms, then back to the background
+        parts += [b"\x21\xf9\x04", struct.pack("<BHBB", 2 << 2, 10, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, z - a, 0), b"\x08", _blocks(lzw_encode(payload[a * WIDTH : z * WIDTH]))]
     return b"".join(parts) + b"\x3b"
 
 
@@ -101,75 +198,6 @@ class Frame(NamedTuple):
     canvas: np.ndarray  # rows x columns x 4 after this frame
 
 
-def _uniform(data: np.ndarray, width: int) -> np.ndarray:
-    """All codes of one width in the data."""
-    n = len(data) * 8 // width
-    if width == 9:
-        groups = -(-len(data) // 9)
-        raw = np.zeros(groups * 9, np.uint8)
-        raw[: len(data)] = data
-        raw = raw.reshape(-1, 9)
-        low = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel()
-        out = np.empty((groups, 8), np.uint16)
-        for i in range(7):
-            out[:, i] = ((low >> np.uint64(9 * i)) & np.uint64(511)).astype(np.uint16)
-        out[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | (raw[:, 8].astype(np.uint16) << 1)
-        return out.ravel()[:n]
-    at = np.arange(n, dtype=np.int64) * width
-    pad = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
-    b = at >> 3
-    return (((pad[b] | pad[b + 1] << 8 | pad[b + 2] << 16) >> (at & 7).astype(np.uint32)) & ((1 << width) - 1)).astype(np.uint16)
-
-
-def _code_by_code(data: bytes, size: int, most: int) -> np.ndarray:
-    clear, end = 1 << size, (1 << size) + 1
-    out, table, width, bits, have, last = bytearray(), [], size + 1, 0, 0, None
-    fresh = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table = fresh.copy()
-    for byte in data:
-        bits |= byte << have
-        have += 8
-        while have >= width:
-            code = bits & ((1 << width) - 1)
-            bits >>= width
-            have -= width
-            if code == clear:
-                table, width, last = fresh.copy(), size + 1, None
-                continue
-            if code == end or len(out) >= most:
-                return np.frombuffer(bytes(out), np.uint8)
-            if last is None:
-                if code > end:
-                    raise ValueError("first code is not a literal")
-                word = table[code]
-            else:
-                if code > len(table):
-                    raise ValueError("code beyond the table")
-                word = table[code] if code < len(table) else last + last[:1]
-                if len(table) < 4096:
-                    table.append(last + word[:1])
-                    if len(table) == 1 << width and width < 12:
-                        width += 1
-            out += word
-            last = word
-    return np.frombuffer(bytes(out), np.uint8)
-
-
-def lzw(data: bytes, size: int, most: int) -> np.ndarray:
-    """Decode a code stream with ``size`` bits a sample; at most about ``most`` samples are wanted."""
-    clear, end = 1 << size, (1 << size) + 1
-    codes = _uniform(np.frombuffer(data, np.uint8), size + 1)
-    stop = np.flatnonzero(codes == end)[:1]
-    if len(stop):
-        codes = codes[: stop[0]]
-        special = np.flatnonzero(codes == clear)
-        gaps = np.diff(np.concatenate([[-1], special, [len(codes)]])) - 1
-        # the table starts at end + 1, and each code after a group's first adds an entry
-        if len(codes) and codes.max() <= clear and gaps.max() - 1 < (1 << (size + 1)) - (end + 1):
-            return codes[codes != clear].astype(np.uint8)
-    return _code_by_code(data, size, most)
-
-
 def _sub_blocks(raw: bytes, at: int) -> tuple[bytes, int]:
     start, n = at, len(raw)
     # many full blocks in a row are taken at once
@@ -199,7 +227,7 @@ def _interlaced(rows: int) -> np.ndarray:
 
 
 def frames(raw: bytes, compose: bool = True) -> Iterator[Frame]:
-    """Decode a GIF. Without compose, canvases are empty arrays (indices and palettes are all there)."""
+    """Decode a GIF. Without compose, the canvas is an empty array where the frame is all that is seen (opaque, and as large)."""
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
@@ -208,7 +236,17 @@ def frames(raw: bytes, compose: bool = True) -> Iterator[Frame]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(-1, 3)
         at += 3 * n
-    canvas = np.zeros((height, width, 4), np.uint8) if compose else np.zeros((0, 0, 4), np.uint8)
+    if width * height > MAX_PIXELS:
+        raise ValueError("canvas too large")
+    empty = np.zeros((0, 0, 4), np.uint8)
+    # what is on the canvas: colours, or None (nothing), or a frame that covers it (indices, colours of the palette)
+    canvas = None
+
+    def painted(on) -> np.ndarray:
+        if on is None:
+            return np.zeros((height, width, 4), np.uint8)
+        return on[1][on[0]] if isinstance(on, tuple) else on.copy()
+
     dispose, delay, transparent = 0, 0, -1
     while at < len(raw):
         kind = raw[at]
@@ -241,34 +279,37 @@ def frames(raw: bytes, compose: bool = True) -> Iterator[Frame]:
             sorted_rows = np.empty_like(index)
             sorted_rows[_interlaced(h)] = index
             index = sorted_rows
-        if compose:
-            before = canvas.copy() if dispose == 3 else None
-            y, x = slice(top, min(top + h, height)), slice(left, min(left + w, width))
-            seen = index[: y.stop - y.start, : x.stop - x.start]
+        before = canvas
+        y, x = slice(top, min(top + h, height)), slice(left, min(left + w, width))
+        colours = np.zeros((256, 4), np.uint8)
+        colours[: len(palette), :3], colours[:, 3] = palette, 255
+        if (top, left, h, w) == (0, 0, height, width) and not (index == transparent).any():
+            canvas = index, colours
+            yield Frame(delay, left, top, index, palette, transparent, painted(canvas) if compose else empty)
+        else:
+            canvas = painted(canvas)
+            seen = index[: max(y.stop - y.start, 0), : max(x.stop - x.start, 0)]
             drawn = seen != transparent
-            colours = np.zeros((256, 4), np.uint8)
-            colours[: len(palette), :3], colours[:, 3] = palette, 255
-            canvas = canvas.copy()
             canvas[y, x][drawn] = colours[seen[drawn]]
-        yield Frame(delay, left, top, index, palette, transparent, canvas)
-        if compose and dispose == 2:
-            canvas = canvas.copy()
-            canvas[y, x] = 0
-        elif compose and dispose == 3:
+            yield Frame(delay, left, top, index, palette, transparent, canvas)
+        if dispose == 2:
+            if (top, left) == (0, 0) and h >= height and w >= width:
+                canvas = None
+            else:
+                canvas = painted(canvas)
+                canvas[y, x] = 0
+        elif dispose == 3:
             canvas = before
         dispose, delay, transparent = 0, 0, -1
 
 
 def histogram(f: Frame) -> np.ndarray:
-    """Pixels of the canvas in each of BINS**3 cells of the colour cube, transparent ones left out; without canvas, the stored samples."""
-    used = np.bincount(f.indices.ravel(), minlength=256)[:256]
-    clear = f.transparent >= 0 and used[f.transparent] > 0
-    # an opaque frame over all of the canvas is what is seen
-    if f.canvas.size and (clear or f.left or f.top or f.indices.shape != f.canvas.shape[:2]):
+    """Pixels of the canvas in each of BINS**3 cells of the colour cube, transparent ones left out."""
+    # without a canvas the frame is what is seen
+    if f.canvas.size:
         c = (f.canvas[f.canvas[..., 3] > 0][:, :3].astype(np.int64) * BINS) >> 8
         return np.bincount((c[:, 0] * BINS + c[:, 1]) * BINS + c[:, 2], minlength=BINS**3).astype(np.int64)
-    if f.transparent >= 0:
-        used[f.transparent] = 0
+    used = np.bincount(f.indices.ravel(), minlength=256)[:256]
     p = np.zeros((256, 3), np.int64)
     p[: len(f.palette)] = f.palette
     cell = (p * BINS) >> 8
@@ -284,6 +325,7 @@ def store(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tv.slices(batches):
             b = tv.from_arrow(rb.column("text"))
@@ -318,7 +360,7 @@ def described(media: DataFrame, keep: list[str]) -> DataFrame:
             return (None,) * 7 + ("no media",)
         timed, parts, total = [], [], np.zeros(BINS**3, np.int64)
         try:
-            for f in frames(raw):
+            for f in frames(raw, compose=False):
                 h = histogram(f)
                 total += h
                 parts.append(f.indices.tobytes())
@@ -329,6 +371,7 @@ def described(media: DataFrame, keep: list[str]) -> DataFrame:
         feature = ",".join(f"{i}:{c}" for i, c in enumerate(total.tolist()) if c)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), timed, feature, None
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = [one(m.as_py()) for m in rb.column("media")]

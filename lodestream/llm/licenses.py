@@ -273,6 +273,7 @@ def scan(docs: DataFrame, model: Model | None = None, keep: list[str] | None = N
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_paragraphs", T.LongType()), T.StructField("n_license", T.LongType()), T.StructField("family", T.StringType()), T.StructField("families", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
     names = np.array([*FAMILIES, UNKNOWN], object)
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for rb in tv.slices(batches):

@@ -7,7 +7,8 @@ own stretch crosses. With sizes in order, the words taken miss the target by abo
 
 No source is ever sorted in one task: a source falls into size classes (1/32 octave) and, as the
 table grows, into sub-groups of each class. Counts of these groups are summed first; each group then
-starts from its own prefix, so only one small group is sorted at a time. The expected copies are
+starts from its own prefix (rows in the source's classes before, and in the class's sub-groups before), so
+only one small group is sorted at a time. The expected copies are
 whole multiples of 2**-40, so prefix sums are exact and reruns agree.
 
 Defined results: a null text or one without words has size 0 and takes 0 words; a null source is a
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from . import textvec as tv
 
 ONE = 1 << 40
 ROWS_PER_GROUP = 200_000
@@ -31,14 +33,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source and the number of words, stored: for mixes that need no texts, so that words are counted once."""
+    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("_m_size")))
+
+
 def _grouped(docs: DataFrame, subs: int) -> DataFrame:
-    size = word_count(F.col("text"))
+    if "_m_size" not in docs.columns:
+        docs = docs.withColumn("_m_size", word_count(F.col("text")))
     bits = F.length(F.bin(F.col("_m_size")))
+    # by a hash, since ids may stand at regular distances; rows without an id by their size
+    own = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("_m_size").cast("string")).cast("binary"))
     return (
-        docs.withColumn("_m_size", size)
-        .withColumn("_m_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~null")))
+        docs.withColumn("_m_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~null")))
         .withColumn("_m_class", bits * 64 + F.expr("_m_size >> greatest(length(bin(_m_size)) - 6, 0)"))
-        .withColumn("_m_sub", F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(subs)))
+        .withColumn("_m_sub", F.conv(F.substring(own, 1, 8), 16, 10).cast("long") % F.lit(subs))
     )
 
 
@@ -74,42 +83,47 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix-1", rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    """All columns of docs, and size, source_size, target, copies, taken (longs, target a double)."""
+def _mixed(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: str, rows_per_group: int) -> DataFrame:
+    """The columns of docs and _m_size, _m_source_size, _m_target, _m_copies."""
     subs = 1 + docs.count() // rows_per_group
-    keep = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     keys = ["_m_src", "_m_class", "_m_sub"]
-    groups = stored(_grouped(docs.select("doc_id", "source", "text"), subs).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_m_size").alias("_words")))
-    goal = targets(groups.groupBy("_m_src").agg(F.sum("_words").alias("source_size")), weights, cap)
+    slim = docs.select(*(c for c in docs.columns if c in ("doc_id", "source", "text", "_m_size")))
+    groups = stored(_grouped(slim, subs).groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_m_size").alias("_words")))
+    classes = groups.groupBy("_m_src", "_m_class").agg(F.sum("_n").alias("_n"), F.sum("_words").alias("_words"))
+    goal = targets(classes.groupBy("_m_src").agg(F.sum("_words").alias("source_size")), weights, cap)
     rate = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.lit(float(ONE)))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("_m_src"))), 1, 10), 16, 10).cast("long")
-    goal = goal.withColumn("_rate", rate).withColumn("_offset", offset)
-    before = Window.partitionBy("_m_src").orderBy("_m_class", "_m_sub").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = F.coalesce(F.sum(F.col("_n").cast("decimal(20,0)") * F.col("_rate")).over(before), F.lit(0)) + F.col("_offset")
-    starts = groups.join(goal, "_m_src").withColumn("_start", F.pmod(prefix, F.lit(ONE)).cast("long"))
-    starts = starts.select(*keys, "_rate", "_start", "source_size", "target")
+    goal = goal.withColumn("_m_rate", rate).withColumn("_m_offset", offset)
+    # rows before a source's class, of a few hundred classes; then before a sub-group in its class
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = classes.select("_m_src", "_m_class", upto(Window.partitionBy("_m_src").orderBy("_m_class")).alias("_first"))
+    within = groups.select(*keys, upto(Window.partitionBy("_m_src", "_m_class").orderBy("_m_sub")).alias("_within"))
+    start = F.pmod((F.col("_first") + F.col("_within")).cast("decimal(20,0)") * F.col("_m_rate") + F.col("_m_offset"), F.lit(ONE)).cast("long")
+    starts = within.join(first, ["_m_src", "_m_class"]).join(goal, "_m_src").select(*keys, "_m_rate", start.alias("_m_start"), F.col("source_size").alias("_m_source_size"), F.col("target").alias("_m_target"))
     own = Window.partitionBy(*keys).orderBy("_m_size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = _grouped(docs.select(*keep), subs).join(starts, keys)
-    upto = F.sum("_rate").over(own) + F.col("_start")
-    return (
-        joined.withColumn("_upto", upto)
-        .withColumn("copies", F.expr(f"(_upto div {ONE}) - ((_upto - _rate) div {ONE})"))
-        .select(*keep, F.col("_m_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_m_size")).alias("taken"))
-    )
+    joined = _grouped(docs, subs).join(starts, keys)
+    return joined.withColumn("_m_upto", F.sum("_m_rate").over(own) + F.col("_m_start")).withColumn("_m_copies", F.expr(f"(_m_upto div {ONE}) - ((_m_upto - _m_rate) div {ONE})"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix-1", rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """All columns of docs, and size, source_size, target, copies, taken (longs, target a double), which replace columns of their names."""
+    added = ["size", "source_size", "target", "copies"]
+    keep = [F.col(c) for c in docs.columns if c not in (*added, "taken", "_m_size")]
+    return _mixed(docs, weights, cap, seed, rows_per_group).select(*keep, *(F.col(f"_m_{c}").alias(c) for c in added), (F.col("_m_copies") * F.col("_m_size")).alias("taken"))
 
 
-def emit(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    return mix(docs, **kw).withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select(*docs.columns)
+def emit(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix-1", rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of docs as they are."""
+    safe, back = tv.guarded(docs, ("doc_id", "source", "text"))
+    return _mixed(safe, weights, cap, seed, rows_per_group).withColumn("_m_copy", F.explode(F.expr("array_repeat(0, cast(_m_copies as int))"))).select(*back)
 
 
 SQL = f"""
 WITH n AS (SELECT 1 + count(*) // {ROWS_PER_GROUP} AS subs FROM documents),
 d AS (
-  SELECT doc_id, coalesce('s' || source, '~null') AS src, pmod_id % subs AS sub,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
-  FROM (SELECT *, coalesce(doc_id, 0) AS pmod_id FROM documents), n),
-c AS (SELECT *, length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 6, 0)) AS cls FROM d),
+  SELECT doc_id, coalesce('s' || source, '~null') AS src, subs,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents, n),
+c AS (SELECT *, length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 6, 0)) AS cls, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, size::VARCHAR)), 1, 8))::BIGINT % subs AS sub FROM d),
 s AS (SELECT src, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY src) AS rk FROM c GROUP BY src),
 w AS (SELECT *, [5, 2, 1][1 + (rk - 1) % 3]::HUGEINT AS weight FROM s),
 l AS (SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0) AS lft, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS shr

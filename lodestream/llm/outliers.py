@@ -6,17 +6,18 @@ to the present centre, the distance that the nearest ``SUPPORT`` of the group's
 mean and covariance of those rows. The steps begin at two places (medians with deviations from them,
 and mean with covariance of all rows) and go on until the determinant of neither falls any more; the
 estimate with the least determinant counts. A document whose squared Mahalanobis distance is over
-``CUTOFF`` is rejected: the quantile ``CLEAN`` of its chi-square law. No group is collected: histograms and sums of products are aggregated, and because the
-statistics are whole numbers (1/1000) the sums are exact and runs agree whatever the partitioning.
+``CUTOFF`` is rejected: the quantile ``CLEAN`` of its chi-square law. No group is collected: histograms
+and sums of products are aggregated, and because the statistics are whole numbers (1/1000) the sums are exact and runs agree whatever the partitioning.
 
-Groups with fewer than ``MIN_ROWS`` rows use their language's estimate, and a language with fewer
-uses that of all rows. Every variance has a floor, since most clean texts have no symbols or repeats
+Groups with fewer than ``min_rows`` rows (``MIN_ROWS``, unless given) use their language's estimate, and a language with
+fewer uses that of all rows: a covariance of few rows says little. Each row tells whose estimate judged it. Every variance has a floor, since most clean texts have no symbols or repeats
 at all and their covariance would otherwise be singular. A floor only shortens distances, so that at most
 1 - ``CLEAN`` of normally distributed rows are over the cutoff.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; null
 languages and sources are groups of their own; repeated rows count as often as they stand; an empty
-table gives an empty table; input columns are kept, the added ones replace columns of the same name.
+table gives an empty table; ``keep`` changes no column; ``annotate`` and ``judge`` replace columns of the
+names that they add.
 """
 
 from __future__ import annotations
@@ -122,6 +123,7 @@ def annotate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in added])
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tv.slices(batches):
             got = statistics(tv.from_arrow(rb.column("text")))
@@ -155,9 +157,9 @@ def _bin():
     return F.least(F.floor(64 * F.log2(1 + F.greatest(F.col("_d2"), F.lit(0.0)))), F.lit(4096)).cast("int")
 
 
-def _under(binned: DataFrame, group: list[str], share: float) -> DataFrame:
+def _under(binned: DataFrame, group: list[str], share: float, weight=F.lit(1)) -> DataFrame:
     """For each group the least bin at or under which ``share`` of its rows lie; bins are few by construction."""
-    h = binned.groupBy(*group, "_bin").agg(F.count("*").alias("_c"))
+    h = binned.groupBy(*group, "_bin").agg(F.sum(weight).alias("_c"))
     w = Window.partitionBy(*group)
     upto = F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return h.withColumn("_u", upto).withColumn("_t", F.sum("_c").over(w)).where(F.col("_u") >= F.ceil(F.col("_t") * share)).groupBy(*group).agg(F.min("_bin").alias("_limit"))
@@ -185,9 +187,11 @@ def fit(stats: DataFrame) -> DataFrame:
     """One row for each level's group: rows, centre, inverse covariance. stats: lang, source and the vector, base rules passed."""
     wide = _levels(stats).select(F.explode("_keys").alias("_key"), *FEATURES)
     # the start: medians, and median absolute deviations as a diagonal covariance
-    long = wide.select("_key", F.posexplode(F.array(*FEATURES)).alias("_f", "_v"))
-    median = _under(long.withColumn("_bin", F.col("_v")), ["_key", "_f"], 0.5).withColumnRenamed("_limit", "_med")
-    mad = _under(long.join(median, ["_key", "_f"]).withColumn("_bin", F.abs(F.col("_v") - F.col("_med"))), ["_key", "_f"], 0.5)
+    # from how often each value comes, so that a large group is a few thousand rows
+    values = wide.select("_key", F.posexplode(F.array(*FEATURES)).alias("_f", "_v")).groupBy("_key", "_f", "_v").agg(F.count("*").alias("_k"))
+    values, often = stored(values), F.col("_k")
+    median = _under(values.withColumn("_bin", F.col("_v")), ["_key", "_f"], 0.5, often).withColumnRenamed("_limit", "_med")
+    mad = _under(values.join(median, ["_key", "_f"]).withColumn("_bin", F.abs(F.col("_v") - F.col("_med"))), ["_key", "_f"], 0.5, often)
     start = median.join(mad, ["_key", "_f"]).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_f", "_med", "_limit"))).alias("_a"))
     floors = F.array(*map(F.lit, map(float, FLOOR)))
     spread = F.transform("_a", lambda x: 1.4826**2 * x["_limit"] * x["_limit"] + F.pow(F.get(floors, x["_f"]), F.lit(2.0)))
@@ -216,33 +220,35 @@ def fit(stats: DataFrame) -> DataFrame:
     return stored(best.groupBy("_key").agg(least.alias("_b")).select("_key", "_b.*"))
 
 
-def choose(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """For each (lang, source) the finest level that has enough rows."""
+def choose(stats: DataFrame, params: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """For each (lang, source) the finest level that has ``min_rows`` rows."""
     # "rows" are those in the support, SUPPORT of the group
     groups = _levels(stats.select("lang", "source").distinct()).select(F.element_at("_keys", 1).alias("_group"), F.posexplode("_keys").alias("_level", "_key"))
-    enough = groups.join(params, "_key").where((F.col("rows") >= SUPPORT * MIN_ROWS) | (F.col("_level") == 2))
-    best = F.min_by(F.struct("centre", "inverse"), "_level")
-    return enough.groupBy("_group").agg(best.alias("_p")).select("_group", "_p.centre", "_p.inverse")
+    enough = groups.join(params, "_key").where((F.col("rows") >= SUPPORT * min_rows) | (F.col("_level") == 2))
+    best = F.min_by(F.struct("centre", "inverse", F.col("_level").alias("level")), "_level")
+    return enough.groupBy("_group").agg(best.alias("_p")).select("_group", "_p.*")
 
 
 def judge(annotated: DataFrame, params: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """annotated with base_failed, distance2 (null if the base rules fail) and kept."""
-    names = [c for c in annotated.columns if c not in ("base_failed", "distance2", "kept")]
+    """annotated with base_failed, distance2 and level (null if the base rules fail) and kept."""
+    names = [c for c in annotated.columns if c not in ("base_failed", "distance2", "level", "kept")]
     joined = annotated.select(*names).withColumn("_group", _key(F.col("lang"), F.col("source"))).join(params, "_group", "left")
     scored = joined.withColumn("base_failed", _failed()).withColumn("distance2", F.when(~F.col("base_failed"), _distance2()))
-    return scored.select(*names, "base_failed", "distance2", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"))
+    return scored.select(*names, "base_failed", "distance2", F.when(~F.col("base_failed"), F.col("level")).alias("level"), (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base statistics, base_failed, distance2, kept for every row."""
+def rules(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    """doc_id, lang, source, the base statistics, base_failed, distance2, level (whose estimate judged: 0 the group's, 1 the
+    language's, 2 that of all rows), kept for every row."""
     stats = stored(annotate(docs, ["doc_id", "lang", "source"]))
     passed = stats.where(~_failed())
-    return judge(stats, stored(choose(passed, fit(passed)))).drop(*FEATURES)
+    return judge(stats, stored(choose(passed, fit(passed), min_rows)), cutoff).drop(*FEATURES)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    stats = stored(annotate(docs, ["lang", "source"]))
+    """The rows of docs that are kept, with their columns as they are."""
+    safe, back = tv.guarded(docs, ("text", "lang", "source"))
+    stats = stored(annotate(safe, ["lang", "source"]))
     passed = stats.where(~_failed())
     params = stored(choose(passed, fit(passed)))
-    return judge(annotate(docs), params).where("kept").select(*docs.columns)
+    return judge(annotate(safe), params).where("kept").select(*back)

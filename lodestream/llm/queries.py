@@ -10,7 +10,7 @@ from . import bpe, fixity, gif, licenses, mixing, outliers, ranking, repair, set
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(mixing.sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = gif.store(table(spark, sf_dir, "documents"), ["doc_id"])
-    return gif.described(media, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return gif.described(media, ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outliers.rules(table(spark, sf_dir, "documents")).select("doc_id", *outliers.BASE, "base_failed", "kept", "distance2")
+    return outliers.rules(table(spark, sf_dir, "documents")).select("doc_id", *outliers.BASE, "base_failed", "kept", "distance2", "level")
 
 
 def op9_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

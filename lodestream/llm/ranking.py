@@ -14,7 +14,7 @@ pass without a shuffle over every whole text.
 Defined results: a null text is an empty text and gets the score of a text without any marks;
 labels without a document, or null labels, teach nothing; without labels of both classes every
 document scores ``THRESHOLD``; repeated rows are scored alike; an empty table gives an empty table;
-input columns are kept, the added ones replace columns of the same name.
+``score`` replaces columns of the names that it adds, ``keep`` changes no column.
 """
 
 from __future__ import annotations
@@ -112,6 +112,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_P
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_y", "text")
     size = len(SHARES) + BUCKETS
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tv.slices(batches):
             v = vectors(tv.from_arrow(rb.column("text")))
@@ -129,6 +130,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tv.slices(batches):
             if model is None:
@@ -153,5 +155,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score the threshold or more, with their columns."""
-    return score(docs, learn(docs, labels)).where("predicted = 1").select(*docs.columns)
+    """The rows of docs that score the threshold or more, with their columns as they are."""
+    safe, back = tv.guarded(docs, ("doc_id", "text"))
+    return score(safe, learn(safe, labels)).where("predicted = 1").select(*back)

@@ -1,20 +1,23 @@
 """Token-ID output: ids of every document in shards compressed by Re-Pair, with random access.
 
-Documents stand in ascending doc_id order (nulls first; ties by text). Each shard file holds whole
+Documents stand in ascending doc_id order (nulls first; ties by ids). Each shard file holds whole
 documents: a header, the grammar, the sequence of symbols, and the documents' offsets. Re-Pair
-repeatedly replaces the shard's frequent id pairs by nonterminals; a round counts all pairs, takes the
-most frequent ones together and replaces their occurrences from left to right, until no pair is
-frequent enough or the symbols run out. Each rule's expansion length is stored, so a document's ids
+repeatedly replaces the shard's frequent id pairs by nonterminals. A round counts the pairs, takes all that
+stand ``LEAST`` times or more, and replaces their occurrences, of two that overlap the left one. Rounds go on until no pair is frequent enough or the symbols run out. After the
+first round only pairs next to a symbol that is new, or whose pair lost an occurrence, can have become
+frequent, and only those are counted. Each rule's expansion length is stored, so a document's ids
 are found by a binary search over the sequence's cumulative lengths, and only its symbols are expanded.
 
 File layout (little-endian): 4 bytes ``RPR1``; u32 documents, terminals, rules, symbols; u32 left and
 right of each rule; u32 expansion length of each rule; u32 symbols of the sequence; u64 offsets of the
 documents (documents + 1). A shard is one row (shard, part, docs, ids, blob) of a Parquet table, written by
-Spark to the shared folder; a shard whose ids would take too much memory is written in several parts.
+Spark to the shared folder; a shard whose ids would take too much memory is written in several parts, each
+with a grammar of its own. A shard is a range of doc_ids: ``KNOTS`` quantiles at the most, and straight lines
+between them, say which one, so the number of shards has no bound and the plan has one.
 
 The ids come from the tokenizers library. Since its byte-level splitting is a fixed pattern, each
 task encodes the distinct words it meets with the library and reuses the results, kept in arrays of
-bounded size.
+bounded size and compared by their bytes.
 
 Defined results: a null or empty text has only the end id; repeated rows are written as often as they
 stand; an empty table gives no shards and an empty result.
@@ -42,7 +45,8 @@ MAGIC = b"RPR1"
 PART_IDS = 1 << 19  # ids in one part of a shard
 SHARD_BYTES = 24 << 20
 TERMINALS, MAX_SYMBOLS = 1 << 16, 1 << 17
-ROUNDS, RULES_EACH, LEAST = 3, 6144, 16
+LEAST, WORTH = 16, 4  # occurrences that make a pair frequent, and replacements that pay for a rule of three numbers
+KNOTS, MAX_TASKS, GROUP = 512, 20_000, 1024  # most quantiles, most tasks that write, shards summed up together
 CACHE_BITS, MAX_CACHED_IDS = 20, 1 << 22
 #: A page for each file: pages are read as a whole, and the writer's default looks at their size every 100 rows only.
 PAGES = {"parquet.page.size": "1048576", "parquet.page.size.row.check.min": "1"}
@@ -65,16 +69,29 @@ def tokenizer(path: str):
 
 
 class Words:
-    """A cache of words' ids with one place for each hash value's first bits; the first word there stays."""
+    """A cache of words' ids with one place for each hash value's first bits; the first word there stays.
+
+    A word is known by its length and first 8 bytes, a longer one by its other bytes too.
+    """
 
     def __init__(self, path: str, bits: int = CACHE_BITS):
         self.path, self.shift = path, np.uint64(64 - bits)
-        self.hashes, self.begin, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.head, self.length = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.at, self.begin, self.size = (np.zeros(1 << bits, np.int32) for _ in range(3))
         self.clear()
 
     def clear(self) -> None:
-        self.hashes[:] = 0
+        self.length[:] = 0
         self.flat, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.bytes, self.held = np.zeros(1 << 20, np.uint8), 0
+
+    def _keep(self, data: np.ndarray) -> int:
+        """Append bytes of long words; where they begin."""
+        if self.held + len(data) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(data), len(self.bytes)), np.uint8)])
+        self.bytes[self.held : self.held + len(data)] = data
+        self.held += len(data)
+        return self.held - len(data)
 
     def _library(self, words: list[str]) -> list[list[int]]:
         """Each word's ids. Words without inner white space go in texts of 64, a line feed between them: it is a
@@ -119,22 +136,30 @@ class Words:
     def encode(self, b: tv.Batch) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, end id included, and where each text's ids begin (len = texts + 1)."""
         n = len(b.offs) - 1
-        if self.used > MAX_CACHED_IDS:
+        if self.used + self.held > MAX_CACHED_IDS:
             self.clear()
         s = tv.pretokens(b)
-        h = tv.span_hash(b.buf, s.start, s.end)
+        h, head = tv.span_keys(b.buf, s.start, s.end)
+        length = s.end - s.start
         slot = (h >> self.shift).astype(np.int64)
+        known = (self.head[slot] == head) & (self.length[slot] == length)
+        long = np.flatnonzero(known & (length > 8))
+        known[long] = tv.same_bytes(b.buf, s.start[long], self.bytes, self.at[slot[long]].astype(np.int64), length[long])
         begin, size = self.begin[slot], self.size[slot]
-        new = np.flatnonzero((self.hashes[slot] != h) | (h == 0))
+        new = np.flatnonzero(~known)
         if len(new):
-            _, first, where = np.unique(h[new], return_index=True, return_inverse=True)
+            _, first, where = tv.distinct_spans(b.buf, s.start[new], s.end[new])
             f = new[first]
             raw = b.buf.tobytes()
             at, count = self.learn([raw[x:y].decode() for x, y in zip(s.start[f].tolist(), s.end[f].tolist())])
             begin[new], size[new] = at[where], count[where]
-            free = self.hashes[slot[f]] == 0
-            at, count, f = at[free], count[free], slot[f[free]]
-            self.hashes[f], self.begin[f], self.size[f] = h[new[first[free]]], at, count
+            free = (self.length[slot[f]] == 0) & (length[f] <= 1024)
+            at, count, f = at[free], count[free], f[free]
+            _, one = np.unique(slot[f], return_index=True)
+            at, count, f = at[one], count[one], f[one]
+            to = slot[f]
+            self.head[to], self.length[to], self.begin[to], self.size[to] = head[f], length[f], at, count
+            self.at[to] = self._keep(tv.gather(b.buf, s.start[f], length[f])) + np.cumsum(length[f]) - length[f]
         ids = tv.gather(self.flat, begin.astype(np.int64), size.astype(np.int64))
         per = tv.counts(s.doc, n, size)
         edge = np.concatenate([[0], np.cumsum(per + 1)])
@@ -148,69 +173,101 @@ class Words:
 _words: dict[str, Words] = {}
 
 
-def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """The kept columns and ids: binary, unsigned 16-bit little-endian, with the end id."""
+def encode(docs: DataFrame, path: str, keep: list[str], shard_of=None) -> DataFrame:
+    """The kept columns and ids: binary, unsigned 16-bit little-endian, with the end id; with shard_of also shard, by doc_id."""
     source = docs.select(*keep, "text")
+    more = ["shard"] if shard_of else []
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.setdefault(path, Words(path))
         for rb in tv.slices(batches, most=1 << 20):
             ids, edge = words.encode(tv.from_arrow(rb.column("text")))
             offs = pa.py_buffer((2 * edge).astype(np.int32).tobytes())
             blob = pa.Array.from_buffers(pa.binary(), rb.num_rows, [None, offs, pa.py_buffer(ids.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), blob], names=[*keep, "ids"])
-        pa.default_memory_pool().release_unused()
+            shard = [pa.array(shard_of(rb.column("doc_id")), pa.int32())] if shard_of else []
+            yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), *shard, blob], names=[*keep, *more, "ids"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} int" for c in more)])
     return source.mapInArrow(run, f"{kinds}, ids binary")
 
 
 # --- the grammar ---
 
 
+TABLE_BITS = 17
+
+
 def _place(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def _frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that stand often enough, and how often."""
+    s = np.sort(pair)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    count = np.diff(np.append(first, len(s)))
+    often = count >= least
+    return s[first[often]], count[often]
+
+
+def _alternate(where: np.ndarray) -> np.ndarray:
+    """Of places in a row every second one, from the left."""
+    k = np.arange(len(where))
+    begin = np.append(True, np.diff(where) > 1)
+    return where[(k - np.maximum.accumulate(np.where(begin, k, 0))) % 2 == 0]
 
 
-def compress(ids: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """left, right and expansion length of each rule, and the sequence. Rule k is symbol terminals + k."""
+def compress(ids: np.ndarray, terminals: int = TERMINALS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left, right and expansion length of each rule, and the sequence. Rule k is symbol terminals + k.
+
+    No pair stands ``least`` times without overlap in the sequence, unless the symbols have run out.
+    """
     seq = ids.astype(np.uint32)
-    left, right, length = (np.zeros(0, np.uint32) for _ in range(3))
-    for _ in range(ROUNDS):
-        room = min(RULES_EACH, MAX_SYMBOLS - terminals - len(left))
-        if len(seq) < 2 or room <= 0:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(17)) | seq[1:]
-        s = np.sort(pair)
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        count = np.diff(np.append(first, len(s)))
-        often = count >= LEAST
-        found, count = s[first[often]], count[often]
+    rules, made = [], 0  # (left, right) of each round, and how many
+    look: np.ndarray | None = None  # symbols that a pair must have to be counted; None: any
+    while len(seq) > 1 and made < MAX_SYMBOLS - terminals:
+        at = np.arange(len(seq) - 1) if look is None else np.flatnonzero(look[seq[:-1]] | look[seq[1:]])
+        pair = (seq[at].astype(np.uint64) << np.uint64(17)) | seq[at + 1]
+        found, count = _frequent(pair, least)
         if not len(found):
             break
-        best = np.lexsort((found, -count))[:room][::-1]
-        # a table by hash; of pairs that meet in one place the most frequent, written last, stays for this round
-        table, number = np.full(1 << 16, 1 << 63, np.uint64), np.zeros(1 << 16, np.int64)
-        table[_place(found[best])], number[_place(found[best])] = found[best], best
-        place = _place(pair)
-        hit = table[place] == pair
-        at = number[place]
-        # of occurrences that overlap, every second one from the left
-        where = np.flatnonzero(hit)
-        begin = np.append(True, np.diff(where) > 1)
-        run = np.arange(len(where)) - np.maximum.accumulate(np.where(begin, np.arange(len(where)), 0))
-        where = where[run % 2 == 0]
-        used, rule = np.unique(at[where], return_inverse=True)
-        new = found[used]
+        best = np.lexsort((found, -count))[: MAX_SYMBOLS - terminals - made][::-1]
+        # a table by hash; of pairs that meet in one place the most frequent, written last, is in this round
+        table = np.full(1 << TABLE_BITS, 1 << 63, np.uint64)
+        table[_place(found[best])] = found[best]
+        where = _alternate(at[table[_place(pair)] == pair])
+        new, rule, stands = np.unique((seq[where].astype(np.uint64) << np.uint64(17)) | seq[where + 1], return_inverse=True, return_counts=True)
+        # a pair whose occurrences went to others that overlap them may not be worth a rule any more
+        sure = stands >= min(least, WORTH)
+        if not sure.all():
+            where = where[sure[rule]]
+            new, rule = new[sure], (np.cumsum(sure) - 1)[rule[sure[rule]]]
+        if not len(new):
+            # they are in each other's way: the most frequent pair alone that does not overlap itself too often
+            alone = next(((p, w) for p in found[best[::-1]] if len(w := _alternate(at[pair == p])) >= least), None)
+            if alone is None:
+                break
+            new, where = np.array([alone[0]], np.uint64), alone[1]
+            rule = np.zeros(len(where), np.int64)
         l, r = (new >> np.uint64(17)).astype(np.uint32), (new & np.uint64((1 << 17) - 1)).astype(np.uint32)
-        size = np.concatenate([np.ones(terminals, np.uint32), length])
-        seq = seq.copy()
-        seq[where] = terminals + len(left) + rule
+        seq[where] = (terminals + made + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
         seq = seq[keep]
-        left, right, length = np.concatenate([left, l]), np.concatenate([right, r]), np.concatenate([length, size[l] + size[r]])
-    return left, right, length, seq
+        # pairs that were frequent and not replaced, wholly or in part, are counted again, and those of new symbols
+        look = np.zeros(MAX_SYMBOLS, bool)
+        look[terminals + made : terminals + made + len(new)] = True
+        look[(found >> np.uint64(17)).astype(np.int64)] = True
+        rules.append((l, r))
+        made += len(new)
+    left, right = (np.concatenate([x[i] for x in rules]) if rules else np.zeros(0, np.uint32) for i in range(2))
+    size = np.ones(terminals + made, np.uint32)
+    k = terminals
+    for l, r in rules:
+        size[k : k + len(l)] = size[l] + size[r]
+        k += len(l)
+    return left, right, size[terminals:], seq
 
 
 def expand(seq: np.ndarray, left: np.ndarray, right: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
@@ -265,12 +322,24 @@ class Reader:
 # --- shards ---
 
 
-def _bounds(docs: DataFrame, shards: int) -> list[int]:
-    """Cuts of doc_id into ranges of about as many rows; a few numbers, from the id column alone."""
-    if shards < 2:
-        return []
-    q = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0]
-    return sorted(set(q or []))
+def _knots(docs: DataFrame, shards: int) -> list[int]:
+    """Quantiles of doc_id, first and last included; a few numbers, from the id column alone."""
+    m = min(shards, KNOTS)
+    return docs.agg(F.percentile_approx("doc_id", [i / m for i in range(m + 1)], 10 * m)).first()[0] or []
+
+
+def _shard_of(knots: list[int], shards: int):
+    """doc_ids to shards, never falling: straight lines between the knots. Without a doc_id: shard 0."""
+    x, first = np.unique(np.array(knots, np.float64), return_index=True)
+    y = first / max(len(knots) - 1, 1)
+
+    def of(doc_id: pa.Array) -> np.ndarray:
+        if not len(x):
+            return np.zeros(len(doc_id), np.int32)
+        share = np.interp(doc_id.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.float64), x, y)
+        return np.minimum((share * shards).astype(np.int32), shards - 1)
+
+    return of
 
 
 def write_shards(docs: DataFrame, path: str | None = None, folder: str | None = None, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -278,11 +347,13 @@ def write_shards(docs: DataFrame, path: str | None = None, folder: str | None =
     path, folder = path or default_path(), folder or shared_dir(docs.sparkSession)
     rows = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first() if shards is None else None
     shards = shards or max(1, min(int((rows[1] or 0) // SHARD_BYTES) + 1, max(rows[0], 1)))
-    cuts = _bounds(docs, shards)
-    shard = sum((F.coalesce(F.col("doc_id") > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)) if len(cuts) < 2 else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.coalesce(F.col("doc_id") > c, F.lit(False))))
-    encoded = encode(docs.select("doc_id", "text"), path, ["doc_id"]).withColumn("shard", shard)
-    ordered = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    of = _shard_of(_knots(docs, shards), shards)
+    encoded = encode(docs.select("doc_id", "text"), path, ["doc_id"], of)
+    tasks = min(shards, MAX_TASKS)
+    # a range of shards for each task, and so of doc_ids
+    ordered = encoded.repartitionById(tasks, F.expr(f"cast(shard * {tasks}L div {shards} as int)")).sortWithinPartitions("shard", "doc_id", "ids")
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, ids, docs_, held = None, 0, [], [], 0
 
@@ -326,10 +397,14 @@ def write_shards(docs: DataFrame, path: str | None = None, folder: str | None =
 
 def read_shards(files: DataFrame) -> DataFrame:
     """doc_id, start (in all shards), n_tokens and ids_crc32 of every document, from the written files."""
-    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each part of about a million ids
-    starts = files.select("shard", "part", "ids").withColumn("base", F.coalesce(F.sum("ids").over(order), F.lit(0))).select("shard", "part", "base")
-
+    # one row for each part; prefix sums of groups of shards first, then within each group
+    parts = files.select((F.col("shard") / GROUP).cast("int").alias("_g"), "shard", "part", "ids")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = parts.groupBy("_g").agg(F.sum("ids").alias("ids")).select("_g", F.coalesce(F.sum("ids").over(before.orderBy("_g")), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum("ids").over(before.partitionBy("_g").orderBy("shard", "part")), F.lit(0))
+    starts = parts.withColumn("_own", own).join(F.broadcast(groups), "_g").select("shard", "part", (F.col("_base") + F.col("_own")).alias("base"))
+
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for k in range(rb.num_rows):

@@ -85,30 +85,44 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+SURVEYED = 1 << 21  # tokens that a task counts at once
+
+
+@tv.lean
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (size and two hashes of its set), and one for each token of two or more documents of the batch."""
+    """A row for each document (size and two hashes of its set), and one for each token of two or more of some neighbouring documents."""
     names = ["doc_id", "n", "h1", "h2", "token", "c"]
     none = lambda m: pa.nulls(m, pa.int64())
-    for rb in batches:
-        seen = []
-        for part in tv.slices([rb]):
-            s = shingle_sets(tv.from_arrow(part.column("text")))
-            n = np.diff(s.edge)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(s.tokens))])
-            other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(s.tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
-            h1, h2 = (total[s.edge[1:]] - total[s.edge[:-1]]), (other[s.edge[1:]] - other[s.edge[:-1]])
-            seen.append(s.tokens)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), _signed(h1), _signed(h2), none(len(n)), none(len(n))], names=names)
-        t = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+    seen, held = [], 0
+
+    def shared() -> pa.RecordBatch:
+        t = np.concatenate(seen)
+        t.sort()
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
         c = np.diff(np.append(first, len(t)))
         t, c = t[first[c > 1]], c[c > 1]
-        yield pa.RecordBatch.from_arrays([none(len(t))] * 4 + [_signed(t), pa.array(c.astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([none(len(t))] * 4 + [_signed(t), pa.array(c.astype(np.int64))], names=names)
+
+    for part in tv.slices(batches):
+        s = shingle_sets(tv.from_arrow(part.column("text")))
+        n = np.diff(s.edge)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(s.tokens))])
+        other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(s.tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
+        h1, h2 = (total[s.edge[1:]] - total[s.edge[:-1]]), (other[s.edge[1:]] - other[s.edge[:-1]])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), _signed(h1), _signed(h2), none(len(n)), none(len(n))], names=names)
+        seen.append(s.tokens)
+        held += len(s.tokens)
+        if held > SURVEYED:
+            yield shared()
+            seen, held = [], 0
+    if seen:
+        yield shared()
 
 
 def _prefixes(heavy: np.ndarray, rank: np.ndarray):
     """Postings of each document's prefix in the global order: light tokens by hash, then heavy ones by rank."""
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in tv.slices(batches):
             s = shingle_sets(tv.from_arrow(rb.column("text")))
@@ -131,6 +145,7 @@ def _prefixes(heavy: np.ndarray, rank: np.ndarray):
     return run
 
 
+@tv.lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in tv.slices(batches):
         s = shingle_sets(tv.from_arrow(rb.column("text")))
@@ -228,6 +243,7 @@ def _across(lists: DataFrame) -> DataFrame:
     return rows.repartition("sid").sortWithinPartitions("sid").mapInArrow(_count_partners, "a long, b long")
 
 
+@tv.lean
 def _count_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sid, n, others, sizes) in order of sid: the others that come often enough. Counts are merged now and
     then, so a set's state is as long as its list of different partners."""
@@ -292,6 +308,7 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     postings = source.where(F.col("doc_id").isNotNull()).mapInArrow(prefixes, "token long, doc_id long, n int, pos int")
     both = Window.partitionBy("token")
     found = stored(postings.withColumn("k", F.count("*").over(both)).where("k > 1").drop("k"))
+    shared.destroy()
     # copies give way to their representative
     lists = found.join(copies, "doc_id", "left").select("token", F.coalesce("sid", "doc_id").alias("sid"), "n", "pos").distinct()
     lists = stored(lists.withColumn("k", F.count("*").over(both)).where("k > 1").drop("k"))

@@ -12,6 +12,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _M = np.uint64
 
@@ -129,21 +131,27 @@ def _further(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes, equal hash, wherever they lie.
+    """64-bit hash of each span of bytes; equal bytes, equal hash, wherever they lie."""
+    return span_keys(buf, start, end)[0]
+
+
+def span_keys(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each span of bytes, and its first 8 bytes as a number.
 
     Blocks of 8 bytes go through a non-linear finaliser each, together with their number, before they are
     added up, so that no pattern of bytes cancels out.
     """
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     eights, size = _eights(buf), end - start
     with np.errstate(over="ignore"):
-        h = mix(_block(eights, start, size) + size.astype(np.uint64) * _M(0xD6E8FEB86659FD93))
+        head = _block(eights, start, size)
+        h = mix(head + size.astype(np.uint64) * _M(0xD6E8FEB86659FD93))
         long, first, k, at, left = _further(start, size)
         if len(long):
             part = mix(mix(_block(eights, at, left)) + k.astype(np.uint64) * _M(0x9E3779B97F4A7C15))
             h[long] = mix(h[long] + np.add.reduceat(part, first))
-    return h
+    return h, head
 
 
 def same_bytes(buf: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -284,6 +292,12 @@ def pretokens(b: Batch) -> Spans:
     return Spans(start, end, rows_at(b, start))
 
 
+def guarded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """docs with every column but the used ones under a name that no operator has, and the selection that gives the old names back."""
+    names = [c if c in used else f"_guarded_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def lean(work):
     """A function for mapInArrow that gives memory back to the system when its task ends: idle Python workers stay small."""
 

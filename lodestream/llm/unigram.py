@@ -78,13 +78,15 @@ class Counter:
         best, count = [0.0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
             top, pieces_ = None, 0
-            if not single[end - 1]:
-                top, pieces_ = best[end - 1] + self.unknown, count[end - 1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
-            # the longest piece begins first and keeps its place on a tie
+            # the longest piece begins first and keeps its place on a tie; an unknown character begins last
             for size, score in sorted(ends[end], reverse=True):
                 s = best[end - size] + score
-                if top is None or s > top or (s == top and size > 1 and not single[end - 1]):
+                if top is None or s > top:
                     top, pieces_ = s, count[end - size] + 1
+            if not single[end - 1]:
+                s = best[end - 1] + self.unknown
+                if top is None or s > top:
+                    top, pieces_ = s, count[end - 1] + len(w[end - 1].encode("utf-8", "surrogatepass"))
             best[end], count[end] = top, pieces_
         return count[n]
 
@@ -120,6 +122,7 @@ def count(docs: DataFrame, path: str | None = None, keep: list[str] | None = Non
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("chars_per_token", T.DoubleType())])
 
+    @tv.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _counter(path)
         for rb in tv.slices(batches):

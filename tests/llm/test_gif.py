@@ -106,7 +106,7 @@ def test_disposal_transparency_palettes_interlace():
 
 def test_broken_files():
     good = gif.write(gif.payload_of(b"abc" * 100))
-    for bad in (b"", b"PNG", good[:-20], good[:900]):
+    for bad in (b"", b"PNG", good[:-20], good[: len(good) // 2]):
         with pytest.raises((ValueError, IndexError, struct.error)):
             list(gif.frames(bad, compose=False))
 
