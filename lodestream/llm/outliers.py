@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,9 +157,9 @@ def _bin():
     return F.least(F.floor(64 * F.log2(1 + F.greatest(F.col("_d2"), F.lit(0.0)))), F.lit(4096)).cast("int")
 
 
-def _under(binned: DataFrame, group: list[str], share: float, weight=F.lit(1)) -> DataFrame:
+def _under(binned: DataFrame, group: list[str], share: float, weight: Column | int = 1) -> DataFrame:
     """For each group the least bin at or under which ``share`` of its rows lie; bins are few by construction."""
-    h = binned.groupBy(*group, "_bin").agg(F.sum(weight).alias("_c"))
+    h = binned.groupBy(*group, "_bin").agg(F.sum(F.lit(weight)).alias("_c"))
     w = Window.partitionBy(*group)
     upto = F.sum("_c").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return h.withColumn("_u", upto).withColumn("_t", F.sum("_c").over(w)).where(F.col("_u") >= F.ceil(F.col("_t") * share)).groupBy(*group).agg(F.min("_bin").alias("_limit"))
