@@ -259,7 +259,10 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, Ho
     h = tv.span_hash(flat, begin, begin + lengths)
     order = np.argsort(h, kind="stable")
     edge = lambda x: np.concatenate([[0], np.cumsum(x[order])]).astype(np.int32)
-    return Hot(h[order], edge(lengths), tv.gather(flat, begin[order], lengths[order])), HotIds(edge(sizes), tv.gather(ids, id_begin[order], sizes[order]))
+    out = Hot(h[order], edge(lengths), tv.gather(flat, begin[order], lengths[order])), HotIds(edge(sizes), tv.gather(ids, id_begin[order], sizes[order]))
+    del got, rows
+    tv.give_back(driver=True)
+    return out
 
 
 def chunks(docs: DataFrame, keep: list[str], hot, most: int = CHUNK_BYTES) -> DataFrame:

@@ -84,12 +84,15 @@ def fit(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH) -> Model:
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     rng = np.random.default_rng(7)
     each = pairs_each * max(len(good), len(bad))
-    d = z[rng.permutation(np.resize(good, each))] - z[rng.permutation(np.resize(bad, each))]
+    better, worse = rng.permutation(np.resize(good, each)), rng.permutation(np.resize(bad, each))
     w = np.zeros(z.shape[1])
     for _ in range(12):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the pair is ordered wrongly
-        grad = d.T @ p - RIDGE * w
-        h = (d * (p * (1 - p))[:, None]).T @ d + RIDGE * np.eye(len(w))
+        grad, h = -RIDGE * w, RIDGE * np.eye(len(w))
+        for a in range(0, each, 4096):  # differences are made a block at a time: all of them are large
+            d = z[better[a : a + 4096]] - z[worse[a : a + 4096]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the pair is ordered wrongly
+            grad += d.T @ p
+            h += (d * (p * (1 - p))[:, None]).T @ d
         step = np.linalg.solve(h, grad)
         w += step
         if np.abs(step).max() < 1e-6:
@@ -119,9 +122,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_P
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size * 4), len(v), [None, pa.py_buffer(np.ascontiguousarray(v).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("_y").cast(pa.int32()), flat], names=["doc_id", "y", "v"])
 
-    got = rows.mapInArrow(run, "doc_id long, y int, v binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.frombuffer(b"".join(map(bytes, got.v)), np.float32).reshape(-1, size)
-    return x, got.y.to_numpy()
+    got = rows.mapInArrow(run, "doc_id long, y int, v binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
+    x = tv.from_arrow(got.column("v")).buf.view(np.float32).reshape(-1, size)
+    return x, got.column("y").to_numpy()
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
@@ -146,7 +149,10 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     x, y = training_rows(docs, labels)
-    return fit(x, y) if len(set(y.tolist())) == 2 else None
+    model = fit(x, y) if len(set(y.tolist())) == 2 else None
+    del x
+    tv.give_back(driver=True)
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

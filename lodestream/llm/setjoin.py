@@ -299,6 +299,8 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     hashes, rank = top.token.to_numpy(np.int64).view(np.uint64), np.arange(len(top), dtype=np.int32)
     order = np.argsort(hashes)
     shared = docs.sparkSession.sparkContext.broadcast((hashes[order], rank[order]))
+    del top, hashes, rank
+    tv.give_back(driver=True)
     reps = stored(narrow.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("sid"), F.count("*").alias("rows")))
     copies = narrow.join(reps.where("rows > 1"), ["n", "h1", "h2"]).where("doc_id <> sid").select("doc_id", "sid")
 
