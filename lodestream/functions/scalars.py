@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,6 +129,91 @@ def bucket_of_host(host: Column, path: Column, domain: str) -> Column:
     return F.coalesce(sub, F.nullif(F.split_part(F.regexp_replace(path, "^/+", ""), F.lit("/"), F.lit(1)), F.lit("")))
 
 
+def split_at(s: Column, terminator: str) -> list[Column]:
+    """What stands before the first terminator, and what stands after it; without one the whole text and null."""
+    at = F.position(F.lit(terminator), s)
+    return [F.when(at > 0, F.substring(s, F.lit(1), at - 1)).otherwise(s), F.when(at > 0, F.substring(s, at + len(terminator), F.length(s)))]
+
+
+def composed_name(*parts: Column) -> Column:
+    """Parts of a metric name, cleaned and joined by dots; nulls are left out."""
+    return F.concat_ws(".", *map(metric_name, parts))
+
+
+def to_base64(b: Column) -> Column:
+    return F.base64(b)
+
+
+def from_base64(s: Column) -> Column:
+    """Null if it is not base64."""
+    return F.try_to_binary(s, F.lit("base64"))
+
+
+def from_hex(s: Column) -> Column:
+    """Null if it is not hexadecimal."""
+    return F.unhex(s)
+
+
+def bit_is_set(x: Column, k: Column) -> Column:
+    return F.getbit(x, k) == 1
+
+
+def set_bit(x: Column, k: int) -> Column:
+    return x.bitwiseOR(F.lit(1 << k).cast("long"))
+
+
+def clear_bit(x: Column, k: int) -> Column:
+    return x.bitwiseAND(F.lit(~(1 << k)).cast("long"))
+
+
+def bits_set(x: Column) -> Column:
+    return F.bit_count(x)
+
+
+def is_zero_block(b: Column) -> Column:
+    """Whether a block of bytes holds only zeros."""
+    return F.length(F.ltrim(F.hex(b), F.lit("0"))) == 0
+
+
+def sorted_params(params: Column) -> Column:
+    """A map's entries in order of their keys, as name=value joined by &."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
+
+
+_CRC32C = 0x82F63B78  # fixed value: the reversed Castagnoli polynomial
+
+
+def crc32c(b: Column) -> Column:
+    """CRC-32C of bytes, unsigned; not built in, so Arrow batches."""
+    table = []
+    for k in range(256):
+        for _ in range(8):
+            k = k >> 1 ^ (_CRC32C if k & 1 else 0)
+        table.append(k)
+
+    @F.pandas_udf("long")
+    def digest(values: pd.Series) -> pd.Series:
+        def one(v):
+            c = 0xFFFFFFFF
+            for x in v:
+                c = table[(c ^ x) & 255] ^ c >> 8
+            return c ^ 0xFFFFFFFF
+
+        return values.map(lambda v: None if v is None else one(v))
+
+    return digest(b)
+
+
+def compression_ratio(b: Column) -> Column:
+    """Bytes after compression over bytes before (1 for none), for choosing whether to store compressed; Arrow batches."""
+
+    @F.pandas_udf("double")
+    def ratio(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else len(zlib.compress(v, 1)) / len(v) if v else 1.0)
+
+    return ratio(b)
+
+
 def hex_id(b: Column) -> Column:
     return F.upper(F.hex(b))
 

@@ -14,6 +14,20 @@ def chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return parts.select(key, "chunk_no", "chunk", F.length("chunk").alias("len"), F.sha2(F.col("chunk").cast("binary"), 256).alias("hash"))
 
 
+def read_range(c: DataFrame, key: str, number: str, data: str, size: str, at: int, count: int) -> DataFrame:
+    """``count`` characters (or bytes) from ``at`` on of each object, from its chunks in order; null if the object ends before.
+
+    Only chunks that meet the range are put together, so a row holds at most the range and two chunks.
+    """
+    w = Window.partitionBy(key).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    placed = c.select(key, number, data, size).withColumn("_at", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    met = placed.where((F.col("_at") < at + count) & (F.col("_at") + F.col(size) > at))
+    begin = F.greatest(F.lit(at) - F.col("_at"), F.lit(0))
+    piece = F.substring(data, (begin + 1).cast("int"), (F.least(F.col(size), at + count - F.col("_at")) - begin).cast("int"))
+    parts = met.select(key, F.struct(F.col(number), piece.alias("piece")).alias("_p")).groupBy(key).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+    return parts.select(key, F.array_join(F.transform("_ps", lambda p: p["piece"]), "").alias("data"))
+
+
 def dedup_stats(c: DataFrame) -> DataFrame:
     """Chunks, distinct ones, characters stored and saved: the hashes are summed first, then the hashes' sums."""
     h = c.groupBy("hash").agg(F.count("*").alias("n"), F.max("len").alias("len"))
@@ -45,27 +59,59 @@ def counter_diff(rows: DataFrame, stored: DataFrame, bucket: str) -> DataFrame:
     return both.where("counted <> stored")
 
 
+def lookup(entries: DataFrame, parent, name: str) -> DataFrame:
+    """The entry (parent, name, child, ...) of a directory with this name."""
+    return entries.where((F.col("parent") == parent) & (F.col("name") == name))
+
+
+def read_directory(entries: DataFrame, parent, marker: str = "", limit: int = 1000) -> DataFrame:
+    """A page of a directory's entries after the marker, in order of name."""
+    return entries.where((F.col("parent") == parent) & (F.col("name") > marker)).orderBy("name").limit(limit)
+
+
+def directory_stat(entries: DataFrame, size: str) -> DataFrame:
+    """Entries and bytes of each directory."""
+    return entries.groupBy("parent").agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def inode_names(inodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """Inodes (child, ...) with the names that lead to them; several names give several rows, none a null."""
+    return inodes.join(entries.select("child", "parent", "name"), "child", "left")
+
+
+def combinations(items, k: int):
+    """All subsets of k items of a short array of distinct ones, each in the array's order, as an array of arrays."""
+    out = F.transform(items, lambda x: F.array(x))
+    for _ in range(k - 1):
+        later = lambda c: F.slice(items, F.array_position(items, F.element_at(c, -1)).cast("int") + 1, F.size(items))
+        out = F.flatten(F.transform(out, lambda c: F.transform(later(c), lambda x: F.concat(c, F.array(x)))))
+    return out
+
+
+def is_subset(part, whole):
+    return F.size(F.array_except(part, whole)) == 0
+
+
 def placement(df: DataFrame, key, rows: int) -> DataFrame:
     """Items in each placement row."""
     return df.groupBy(F.pmod(key, F.lit(rows)).alias("row")).agg(F.count("*").alias("cnt"))
 
 
 def ring_owner(keys: DataFrame, ring: DataFrame, h: str) -> DataFrame:
-    """The server with the least ring position at or after the key's hash, around the ring. ring: (pos, server).
+    """The server with the least ring position at or after the key's hash, around the ring. ring: (pos, server), of any size.
 
-    Keys and positions are put in one order within coarse slices of the ring; a slice without a later
-    position takes the first of the next slices, found from the small ring table alone.
+    Keys and ring positions are dealt out by ranges of the ring and sorted once; going down, each key sees the last
+    position above it. A range's uppermost keys take the first position of the ranges after it, the last
+    range's those of the first: one row for each range, which is all that is collected in one place.
     """
-    slices = 256
-    span = (1 << 32) // slices
-    slice_of = lambda c: F.floor(c / span).cast("int")
-    firsts = ring.groupBy(slice_of(F.col("pos")).alias("_s")).agg(F.min(F.struct("pos", "server")).alias("_f"))
-    w = Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
-    # twice around, so that the last slices find the first ones; at most 512 rows
-    idx = ring.sparkSession.range(2 * slices).select(F.col("id").alias("_k"), (F.col("id") % slices).cast("int").alias("_s"))
-    nxt = idx.join(firsts, "_s", "left").withColumn("_next", F.last("_f", True).over(w)).where(F.col("_k") < slices).select("_s", "_next")
-    both = keys.withColumn("_s", slice_of(F.col(h))).join(F.broadcast(nxt), "_s")
-    r = ring.select(slice_of(F.col("pos")).alias("_s"), "pos", "server")
-    own = both.join(F.broadcast(r.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("pos", "server"))).alias("_r"))), "_s", "left")
-    hit = F.get(F.filter("_r", lambda x: x["pos"] >= F.col(h)), F.lit(0))
-    return own.withColumn("server", F.coalesce(hit["server"], F.col("_next.server"))).drop("_s", "_next", "_r")
+    names = keys.columns
+    on_ring = ring.select(F.col("pos").cast("long").alias("_h"), F.struct(F.col("pos").cast("long").alias("pos"), "server").alias("_s"), *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in names))
+    both = keys.select(F.col(h).cast("long").alias("_h"), F.lit(None).cast(on_ring.schema["_s"].dataType).alias("_s"), *names).unionByName(on_ring)
+    dealt = both.repartitionByRange("_h").withColumn("_p", F.spark_partition_id())
+    down = Window.partitionBy("_p").orderBy(F.desc("_h"), F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = dealt.groupBy("_p").agg(F.min("_s.pos").alias("_pos"), F.min_by("_s.server", "_s.pos").alias("_first"))
+    later = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    everywhere = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = firsts.select("_p", F.coalesce(F.last("_first", True).over(later), F.last("_first", True).over(everywhere)).alias("_next"))
+    seen = dealt.withColumn("_own", F.last("_s", True).over(down)).where("_s IS NULL").join(F.broadcast(carried), "_p")
+    return seen.select(*names, F.coalesce("_own.server", "_next").alias("server"))

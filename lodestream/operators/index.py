@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import pick
+
 
 def range_page(df: DataFrame, key: str, marker: str | None = None, end: str | None = None, limit: int = 1000, inclusive: bool = False) -> DataFrame:
     """Keys after the marker (or from it on) up to and with end."""
@@ -29,6 +31,55 @@ def prefix_scan(df: DataFrame, key: str, prefix: str, marker: str = "", limit: i
     return (df.where(F.col(key).startswith(prefix)) if strict else df).orderBy(key).limit(limit)
 
 
+def prefix_keys(df: DataFrame, key: str, prefix: str, marker: str = "", limit: int = 1000, details: tuple[str, ...] = ()) -> DataFrame:
+    """Keys with the prefix, without values; with details the key and these columns, joined by tabs."""
+    text = F.concat_ws("\t", key, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in details))
+    return prefix_scan(df, key, prefix, marker, limit).select(text.alias("key"))
+
+
+def overlay_scan(base: DataFrame, changes: DataFrame, key: str, value: str, start: str, limit: int = 1000, strict: bool = False) -> DataFrame:
+    """A page of a listing seen through pending changes. Both sides are cut to the page's range before they meet."""
+    cut = lambda d: d.where((F.col(key) >= start) & F.col(key).startswith(start)) if strict else d.where(F.col(key) >= start)
+    return overlay(cut(base), cut(changes), key, value).orderBy(key).limit(limit)
+
+
+def prefix_pages(df: DataFrame, key: str, prefix: str, size: int = 1000) -> DataFrame:
+    """Every row with the prefix and its page, each row once."""
+    return pages(df.where(F.col(key).startswith(prefix)), key, size)
+
+
+def object_info(df: DataFrame, properties: str, names: tuple[str, ...]) -> DataFrame:
+    """Numbers picked from a map of texts; what is no number is null."""
+    return df.select("*", *(F.try_element_at(properties, F.lit(n)).try_cast("long").alias(n) for n in names))
+
+
+def stat(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The wanted keys and whether they are there."""
+    there = df.select(key).distinct().withColumn("_there", F.lit(True))
+    return wanted.select(key).join(there, key, "left").select(key, F.col("_there").isNotNull().alias("found"))
+
+
+def overlay_put(changes: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Pending changes (key, value, action) with newer ones in place of those of the same keys."""
+    return changes.join(rows.select(key), key, "left_anti").select(*changes.columns).unionByName(rows)
+
+
+def overlay_find(base: DataFrame, changes: DataFrame, key: str, value: str, k) -> DataFrame:
+    """One key through the overlay: the change if there is one, else the stored row."""
+    return overlay(base.where(F.col(key) == k), changes.where(F.col(key) == k), key, value)
+
+
+def attributes_put(stored: DataFrame, rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """Attribute rows added to their shards: a later sum by shard gives the totals."""
+    return stored.unionByName(rows.withColumn("shard", F.pmod(F.col(key), F.lit(shards)).cast(stored.schema["shard"].dataType)))
+
+
+def apply_deltas(rows: DataFrame, deltas: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Rows with the sums of their keys' metadata deltas added; deltas of a change must agree in sign."""
+    add = check_signs(deltas, cols).groupBy(key).agg(*(F.sum(c).alias(f"_{c}") for c in cols))
+    return rows.join(add, key, "left").select(*((F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) if c in cols else F.col(c) for c in rows.columns))
+
+
 def pages(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
     """Every row with its page number: what a client that pages through all keys sees, each row once.
 
@@ -50,7 +101,7 @@ def cmp_filter(df: DataFrame, key: str, pattern: str, cmp: int) -> DataFrame:
 def kway_merge(lists: list[DataFrame], key: str, value: str) -> DataFrame:
     """Sorted lists to one; of equal keys the first list's row is taken."""
     tagged = [d.select(key, value, F.lit(i).alias("_i")) for i, d in enumerate(lists)]
-    return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(F.min_by(value, F.struct("_i", value)).alias(value))
+    return pick(reduce(DataFrame.unionByName, tagged), [key], ["_i", value], last=False).select(key, value)
 
 
 def overlay(base: DataFrame, changes: DataFrame, key: str, value: str, precedence: str = "overlay") -> DataFrame:

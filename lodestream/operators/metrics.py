@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import pick
+
 
 def rounded(c: Column, digits: int = 4) -> Column:
     return F.round(c, digits)
@@ -31,8 +33,13 @@ def scale_samples(s: DataFrame) -> DataFrame:
 
 
 def quantiles_exact(s: DataFrame, keys: list[str]) -> DataFrame:
-    q = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return s.groupBy(*keys).agg(*q, F.count("*").alias("cnt"))
+    """The least value that the share of the values is not above: from how often each value comes, so that no group is held whole."""
+    often = s.groupBy(*keys, "value").agg(F.count("value").alias("_n"), F.count("*").alias("_rows"))
+    w = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = often.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(w))
+    q = [F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_all")), F.col("value"))).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
+    return ranked.groupBy(*keys).agg(*q, F.sum("_rows").alias("cnt"))
 
 
 def quantiles_approx(s: DataFrame, keys: list[str], eps: float = 0.01) -> DataFrame:
@@ -88,7 +95,7 @@ def longest_prefix(names: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def gauge_last(s: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return s.groupBy(*keys).agg(F.max_by("value", F.struct(*order)).alias("value"))
+    return pick(s.select(*keys, "value", *order), keys, order).select(*keys, "value")
 
 
 def gauge_delta(s: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -109,9 +116,27 @@ def kv_passthrough(s: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return s.withColumn("pos", F.row_number().over(w)).select(*keys, "value", "pos")
 
 
-def latest_values(s: DataFrame, width: int = 91) -> DataFrame:
-    """Latest-value table: names that agree in their first ``width`` characters share a key."""
-    return s.groupBy(F.expr(f"substring(name, 1, {width})").alias("key")).agg(F.max_by(F.struct("value", "ts"), F.struct("ts", "value")).alias("v")).select("key", "v.value", "v.ts")
+def latest_values(s: DataFrame, order: list[str], width: int = 91, families: tuple[str, ...] = ()) -> DataFrame:
+    """Latest-value table of rows (name, value, ts): names that agree in their first ``width`` characters share a key.
+
+    Of names that begin with one of the families a new one evicts all others of its key up to the last dot.
+    """
+    name = F.col("name")
+    evicts = F.greatest(*(name.startswith(f).cast("int") for f in families), F.lit(0), F.lit(0)) == 1
+    key = F.when(evicts, F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(F.substring(name, 1, width))
+    return pick(s.select(key.alias("key"), "value", "ts", *(c for c in order if c != "ts")), ["key"], order).select("key", "value", "ts")
+
+
+def input_counter(s: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows (keys, name, total): how many samples came in, under a name of its own."""
+    return s.groupBy(*keys).agg(F.count("*").cast("double").alias("total")).withColumn("name", F.lit(name))
+
+
+def merge_flushed(s: DataFrame, keep: tuple[str, ...], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that another collector has aggregated: of names with four parts or more only those of the kept families."""
+    name = F.col("name")
+    family = lambda names: F.greatest(*((name == n).cast("int") for n in names), *(name.startswith(n + ".").cast("int") for n in names), F.lit(0), F.lit(0)) == 1
+    return s.where((F.size(F.split(name, r"\.")) < 4) | (family(keep) & ~family(drop)))
 
 
 def flush_lines(c: DataFrame) -> DataFrame:
@@ -119,6 +144,33 @@ def flush_lines(c: DataFrame) -> DataFrame:
     return c.select(F.concat_ws("|", F.concat(F.lit("counts."), F.col("name")), F.format_string("%.6f", F.col("total")), F.col("w").cast("string")).alias("line"))
 
 
+def _line(kind: str, name, value, w) -> Column:
+    return F.concat_ws("|", F.concat(F.lit(kind + "."), name), value, w.cast("string"))
+
+
+def kv_lines(s: DataFrame, kind: str = "kv") -> DataFrame:
+    """Key/value or gauge rows (w, name, value) as text; kind gauges for gauges."""
+    return s.select(_line(kind, F.col("name"), F.format_string("%.6f", F.col("value")), F.col("w")).alias("line"))
+
+
+def set_lines(s: DataFrame) -> DataFrame:
+    """Set rows (w, name, members) as text, with whole numbers."""
+    return s.select(_line("sets", F.col("name"), F.col("members").cast("string"), F.col("w")).alias("line"))
+
+
+def bin_lines(h: DataFrame, lo: float, hi: float, width: float) -> DataFrame:
+    """Histogram rows (w, name, bin, cnt) as text: bin_<lo for the first, bin_>hi for the last, else the bin's least value."""
+    last, low = bin_count(lo, hi, width) - 1, F.format_string("%.2f", F.lit(lo) + (F.col("bin") - 1) * F.lit(width))
+    label = F.when(F.col("bin") == 0, F.format_string("bin_<%.2f", F.lit(lo))).when(F.col("bin") == last, F.format_string("bin_>%.2f", F.lit(hi))).otherwise(F.concat(F.lit("bin_"), low))
+    return h.select(_line("timers", F.concat("name", F.lit(".histogram."), label), F.col("cnt").cast("string"), F.col("w")).alias("line"))
+
+
+def flush_values(c: DataFrame, keys: list[str]) -> DataFrame:
+    """The wide form: seven statistics of each counter row as rows (keys, stat, value)."""
+    stats = ["cnt", "total", "sum_sq", "mean", "lo", "hi", "stdev"]
+    return c.select(*keys, *(F.col(x).cast("double").alias(x) for x in stats)).unpivot(keys, stats, "stat", "value")
+
+
 def timer_lines(t: DataFrame) -> DataFrame:
     """Ten lines for each timer row: the statistics side by side become rows by an unpivot."""
     stats = ["total", "sum_sq", "mean", "lo", "hi", "cnt", "stdev", "p50", "p95", "p99"]

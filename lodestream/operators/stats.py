@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import pick
+
 RING = 64
 
 
@@ -83,7 +85,7 @@ def replica_count(df: DataFrame, keys: list[str], device: str, most: int) -> Dat
 
 def host_average(df: DataFrame, host: str, order: list[str], value: str) -> DataFrame:
     """Mean of the hosts' first reports, cut to a whole number."""
-    first = df.groupBy(host).agg(F.min_by(value, F.struct(*order)).alias("_v"))
+    first = pick(df.select(host, F.col(value).alias("_v"), *order), [host], order, last=False)
     return first.agg(F.floor(F.avg("_v")).cast("long").alias("average"), F.count("*").alias("hosts"))
 
 
@@ -94,6 +96,46 @@ def device_states(checkpoint: DataFrame, stats: DataFrame, keys: list[str], now:
     return checkpoint.join(s, keys, "left").select(*keys, F.coalesce("_s", F.lit("FAULTED")).alias("state"))
 
 
+def rtt(df: DataFrame, row: str, kind: str, order: list[str], value: str) -> DataFrame:
+    """Moving round-trip time of each placement row and kind of message."""
+    return moving_average(df, [row, kind], order, value)
+
+
+def size_class(size) -> Column:
+    """Classes of payload size: 0 up to 4 KB, then one for each doubling, the last from 1 MB on."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(size, F.lit(1)) / 4096)), F.lit(0)), F.lit(8)).cast("int")
+
+
+def class_latency(df: DataFrame, keys: list[str], size: str, latency: str) -> DataFrame:
+    """Mean latency (cut to a whole number) and samples of each size class."""
+    return df.groupBy(*keys, size_class(F.col(size)).alias("size_class")).agg(F.floor(F.avg(latency)).cast("long").alias("latency"), F.count("*").alias("samples"))
+
+
+def server_space(df: DataFrame, server: str, size: str, available: str) -> DataFrame:
+    """Used and whole space of each server's devices."""
+    return df.groupBy(server).agg(F.sum(F.col(size) - F.col(available)).alias("used"), F.sum(size).alias("capacity"), F.count("*").alias("devices"))
+
+
+def medians_json(medians: DataFrame, group: str) -> DataFrame:
+    """All groups' medians as one JSON list, in order of the groups; groups are servers or rows of a cluster."""
+    return medians.agg(F.to_json(F.array_sort(F.collect_list(F.struct(group, "median")))).alias("medians"))
+
+
+def object_health(df: DataFrame, obj: str, kind: str, replicas: str, verified: str, want: int) -> DataFrame:
+    """Eighteen counts for each object: payload, manifest and parity chunks by all, verified, one reference, lost, too few, too many copies."""
+    r = F.col(replicas)
+    checks = {"total": F.lit(True), "verified": F.col(verified), "one": r == 1, "lost": r == 0, "few": r < want, "many": r > want}
+    return df.groupBy(obj).agg(*(F.sum(((F.col(kind) == k) & c).cast("long")).alias(f"{k}_{n}") for k in ("payload", "manifest", "parity") for n, c in checks.items()))
+
+
+def row_utilisation(usage: DataFrame, devices: DataFrame, server: str, rows_of: str, capacity: str) -> DataFrame:
+    """Usage rows (server, row, mb) against the servers' table: share of the space, and whether as many rows are used as the table says."""
+    used = usage.groupBy(server).agg(F.countDistinct("row").alias("rows"), F.sum("mb").alias("mb"))
+    pct = F.when(F.col(capacity) > 0, F.floor(100 * F.col("mb") / F.col(capacity))).cast("long")
+    joined = devices.join(used, server, "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("mb", F.coalesce("mb", F.lit(0)))
+    return joined.select(server, "rows", "mb", pct.alias("utilisation"), (F.col("rows") != F.col(rows_of)).alias("mismatch"))
+
+
 def row_usage(df: DataFrame, server: str, listing: str) -> DataFrame:
     """Lists such as '3#120^7#5^' to rows (server, row, mb)."""
     item = F.explode(F.filter(F.split(listing, r"\^"), lambda x: x != ""))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import pick
+
 # fixed values: bits of a record's kind
 CREATE, DELETE, UPDATE, SKIP_BTN, VERSION_EXPUNGE, EXPUNGE, ISGW = 1, 2, 4, 0x100, 0x200, 0x400, 0x1000
 # fixed values: the fields of a text key, in order, joined by \1
@@ -33,9 +35,8 @@ def decode_key(key: Column) -> list[Column]:
 
 
 def dedup(log: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
-    """One row for each identity, the first by order: one shuffle, no sort of the whole log."""
-    rest = [c for c in log.columns if c not in identity]
-    return log.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*identity, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    """One row for each identity, the first by order."""
+    return pick(log, identity, order, last=False)
 
 
 def not_processed(log: DataFrame, history: DataFrame, identity: list[str]) -> DataFrame:
@@ -66,9 +67,7 @@ def user_tenants(tid: Column) -> Column:
 
 def apply(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Latest state of each key: inserts and updates overwrite, deletes and expunges remove."""
-    rest = [c for c in log.columns if c not in keys]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
-    return last.where(~kind_is(DELETE | EXPUNGE))
+    return pick(log, keys, order).where(~kind_is(DELETE | EXPUNGE))
 
 
 def delta_rollup(log: DataFrame, keys: list[str], factor: Column) -> DataFrame:
@@ -122,7 +121,51 @@ def search(log: DataFrame, start: int, end: int, increment: int, max_batches: in
     hits = log.withColumn("batch", batch).where((F.col("batch") >= start - start % increment) & (F.col("batch") < end) & where)
     # distinct batches are few, and only max_batches of them come back
     chosen = hits.select("batch").distinct().orderBy("batch").limit(max_batches)
-    return hits.join(F.broadcast(chosen), "batch", "left_semi")
+    return hits.join(F.broadcast(chosen), "batch", "left_semi").orderBy("timestamp")
+
+
+def next_batch(log: DataFrame, marker: int, increment: int) -> DataFrame:
+    """Rows of the first batch after the marker's: two passes that the filter on time prunes, no sort."""
+    later = log.where(F.col("timestamp") >= marker - marker % increment + increment)
+    first = later.agg(F.min("timestamp").alias("_t")).select((F.col("_t") - F.col("_t") % increment).alias("batch"))
+    return later.withColumn("batch", F.col("timestamp") - F.col("timestamp") % increment).join(F.broadcast(first), "batch", "left_semi")
+
+
+def retain(log: DataFrame, now: int, seconds: int = 7 * 86_400) -> DataFrame:
+    """Rows that are not older than the retention time."""
+    return log.where(F.col("timestamp") >= now - seconds)
+
+
+def late(log: DataFrame, batch: int, interval: int, quarantine: int = 1) -> DataFrame:
+    """What cut_off leaves for the next batch."""
+    return log.where((F.col("timestamp") > batch - quarantine * interval) & (F.col("trtype").bitwiseAND(ISGW) == 0))
+
+
+def pack(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, and the other columns as one text."""
+    rest = [c for c in log.columns if c not in keys]
+    return log.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def unpack(packed: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Columns of records that pack made; a broken record gives nulls."""
+    return packed.withColumn("_r", F.from_json("record", schema)).select(*(c for c in packed.columns if c != "record"), "_r.*")
+
+
+def has_parent(phid: Column) -> Column:
+    """Records whose parent's hash is not all zeros."""
+    return F.coalesce(~phid.rlike("^0+$"), F.lit(False))
+
+
+def is_part_record(oid: Column) -> Column:
+    """Names of multipart pieces: the bytes EF BF BF 7B up to a 7D at 132, and something after it."""
+    b = F.encode(oid, "utf-8")
+    return (F.octet_length(oid) > 132) & F.hex(b).startswith("EFBFBF7B") & (F.hex(F.substring(b, 133, 1)) == "7D")
+
+
+def pending_totals(deltas: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of pending changes and the newest generation for each shard."""
+    return deltas.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("size", "objects", "used")), F.max("generation").alias("generation"))
 
 
 def elide_pairs(log: DataFrame, keys: list[str]) -> DataFrame:

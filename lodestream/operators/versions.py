@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _best(v: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The row with the greatest order for each key: an aggregation, so partial results combine before the shuffle."""
-    rest = [c for c in v.columns if c not in keys]
-    return v.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
+from .rows import pick
 
 
 def latest(v: DataFrame, keys: list[str], with_deleted: bool = False) -> DataFrame:
     """Newest generation by absolute value; a negative one is a deletion."""
-    got = _best(v, keys, F.struct(F.abs("generation"), "uvid_ts"))
+    got = pick(v, keys, [F.abs("generation"), "uvid_ts"])
     return got if with_deleted else got.where("generation > 0")
 
 
@@ -26,6 +22,51 @@ def at_generation(v: DataFrame, generation: int) -> DataFrame:
     return v.where(F.abs("generation") == generation)
 
 
+def at_uvid(v: DataFrame, uvid_ts: int) -> DataFrame:
+    return v.where(F.col("uvid_ts") == uvid_ts)
+
+
+def listed(v: DataFrame, keys: list[str]) -> DataFrame:
+    """All versions with their place, newest first."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.col("generation"))), F.desc("uvid_ts"))
+    return v.withColumn("place", F.row_number().over(w))
+
+
+def delete(v: DataFrame, gone: DataFrame, keys: list[str], now: int) -> DataFrame:
+    """All versions, and for each object to delete that is there a tombstone: a newest generation below 0 without content."""
+    top = pick(v.select(*keys, "generation").join(gone.select(*keys).distinct(), keys, "left_semi"), keys, [F.abs("generation")])
+    made = {"generation": -(F.abs("generation") + 1), "uvid_ts": F.lit(now).cast("long")}
+    stones = top.where("generation > 0").select(*((made[c] if c in made else F.col(c) if c in keys else F.lit(None).cast(v.schema[c].dataType)).alias(c) for c in v.columns))
+    return v.unionByName(stones)
+
+
+def purge(v: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """All versions but those of the given objects (keys), or but the given versions (keys and generation)."""
+    by = [*keys, "generation"] if "generation" in gone.columns else keys
+    return v.join(gone.select(*by), by, "left_anti").select(*v.columns)
+
+
+def copy(v: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """All versions, and for each pair (source, target) the source's latest version as the target's first generation."""
+    got = latest(v, [key]).join(pairs, F.col(key) == F.col("source"))
+    made = {key: F.col("target"), "generation": F.lit(1).cast(v.schema["generation"].dataType)}
+    return v.unionByName(got.select(*((made[c] if c in made else F.col(c)).alias(c) for c in v.columns)))
+
+
+def snapshot_create(snapshots: DataFrame, v: DataFrame, keys: list[str], name: str, ts: int | None = None) -> DataFrame:
+    """The snapshots (snapshot, keys, generation) and one more of what is newest, or was at ts."""
+    now = latest(v, keys) if ts is None else as_of(v, keys, ts)
+    return snapshots.unionByName(now.select(F.lit(name).alias("snapshot"), *keys, "generation"))
+
+
+def snapshot_delete(snapshots: DataFrame, name: str) -> DataFrame:
+    return snapshots.where(F.col("snapshot") != name)
+
+
+def snapshot_list(snapshots: DataFrame) -> DataFrame:
+    return snapshots.groupBy("snapshot").agg(F.count("*").alias("objects"))
+
+
 def keep_newest(v: DataFrame, keys: list[str], n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.col("generation"))), F.desc("uvid_ts"))
     return v.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
@@ -58,7 +99,7 @@ def expunge(v: DataFrame, expunged: DataFrame, keys: list[str]) -> DataFrame:
     """For each expunged version that was the newest: an update to what is newest now, with the change of size."""
     gone = expunged.select(*keys, F.col("generation").alias("g"), F.col("size").alias("s"))
     left = v.join(expunged.select(*keys, "generation"), [*keys, "generation"], "left_anti")
-    top = _best(left.select(*keys, "generation", "size"), keys, F.struct(F.abs("generation"), "size"))
+    top = pick(left.select(*keys, "generation", "size"), keys, [F.abs("generation"), "size"])
     return gone.join(top, keys).where(F.abs("generation") < F.abs("g")).select(*keys, F.col("g").alias("expunged"), "generation", (F.col("size") - F.col("s")).alias("deltasize"))
 
 

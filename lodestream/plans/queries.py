@@ -62,10 +62,10 @@ def timer_quantiles_approx(spark, d):
     return metrics.quantiles_approx(samples(spark, d), ["name"])
 
 
-@query(SAMPLES + "SELECT w // 86400 AS day, name, count(DISTINCT user_id) AS members FROM s WHERE user_id % 7 = 3 AND user_id < 64 * 7 GROUP BY 1, 2")
+@query(SAMPLES + "SELECT w, name, value > 50 AS high, count(DISTINCT user_id) AS members FROM s GROUP BY 1, 2, 3")
 def set_cardinality(spark, d):
-    s = samples(spark, d).where("user_id % 7 = 3 AND user_id < 64 * 7").withColumn("day", F.expr("w div 86400"))
-    return metrics.set_cardinality(s, ["day", "name"], "user_id")
+    """All events in groups of an hour, which are small enough to be counted exactly."""
+    return metrics.set_cardinality(samples(spark, d).withColumn("high", F.col("value") > 50), ["w", "name", "high"], "user_id")
 
 
 @query()
@@ -136,9 +136,8 @@ def sample_scaling(spark, d):
 
 @query("SELECT substring(event_type || ':' || user_id, 1, 6) AS key, arg_max(value, (epoch_us(ts), event_id)) AS value, max(epoch_us(ts)) AS ts FROM events GROUP BY 1")
 def latest_values(spark, d):
-    s = samples(spark, d)
-    got = s.groupBy(F.expr("substring(concat(name, ':', user_id), 1, 6)").alias("key")).agg(F.max_by(F.struct("value", "us"), F.struct("us", "event_id")).alias("v"))
-    return got.select("key", "v.value", F.col("v.us").alias("ts"))
+    s = samples(spark, d).select(F.concat("name", F.lit(":"), F.col("user_id").cast("string")).alias("name"), "value", F.col("us").alias("ts"), "event_id")
+    return metrics.latest_values(s, ["ts", "event_id"], 6)
 
 
 @query("SELECT 'counts.' || event_type || '|' || printf('%.6f', round(sum(value), 4)) || '|0' AS line FROM events GROUP BY event_type")
@@ -198,11 +197,10 @@ def kway_merge(spark, d):
     return index.kway_merge([o.where(F.col("value") % 4 == i) for i in range(4)], "key", "value")
 
 
-@query("SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 4 < 3")
+@query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
-    lists = [o.where(F.col("o_orderkey") % 4 == i).drop("o_orderkey") for i in range(3)]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).distinct()
+    one = lambda t, c: table(spark, d, t).select(F.col(c).alias("nation"))
+    return one("customer", "c_nationkey").unionByName(one("supplier", "s_nationkey")).distinct()
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
@@ -321,14 +319,14 @@ CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 4 END AS trtype, CASE WH
 
 @query(LOG + "SELECT phid, oid, min(generation) AS generation, arg_min(trtype, generation)::INT AS trtype FROM g GROUP BY phid, oid")
 def log_dedup(spark, d):
-    g = log(spark, d)
+    g = log(spark, d).drop("tid")
     twice = g.unionByName(g.where("generation % 2 = 0"))
     return txlog.dedup(twice, ["phid", "oid"], ["generation"]).select("phid", "oid", "generation", "trtype")
 
 
 @query(LOG + "SELECT phid, oid, generation, trtype, deltasize FROM (SELECT *, row_number() OVER (PARTITION BY phid, oid ORDER BY generation DESC, timestamp DESC) AS r FROM g) WHERE r = 1 AND trtype <> 2")
 def log_apply(spark, d):
-    return txlog.apply(log(spark, d), ["phid", "oid"], ["generation", "timestamp"]).select("phid", "oid", "generation", "trtype", "deltasize")
+    return txlog.apply(log(spark, d).drop("tid"), ["phid", "oid"], ["generation", "timestamp"]).select("phid", "oid", "generation", "trtype", "deltasize")
 
 
 @query(LOG + "SELECT count(*) AS rows, sum(generation)::BIGINT AS total FROM g WHERE timestamp <= 900000000 - 864000")
@@ -359,7 +357,12 @@ def log_kind_filter(spark, d):
     return log(spark, d).where(txlog.kind_is(txlog.CREATE | txlog.UPDATE)).groupBy("trtype").agg(F.count("*").alias("cnt"))
 
 
-@query()
+@query(
+    LOG + ", l AS (SELECT phid, list({'t': trtype, 'd': deltasize, 's': 0::BIGINT, 'n': 0::BIGINT} ORDER BY generation) AS l FROM g GROUP BY phid), "
+    "r AS (SELECT phid, list_reduce(list_prepend({'t': 0, 'd': 0::BIGINT, 's': 0::BIGINT, 'n': 0::BIGINT}, l), lambda a, x: {'t': x.t, 'd': x.d, "
+    "'s': CASE WHEN x.t = 2 AND -x.d > a.s THEN a.s ELSE greatest(a.s + x.d, 0) END, 'n': CASE x.t WHEN 2 THEN greatest(a.n - 1, 0) WHEN 1 THEN a.n + 1 ELSE a.n END}) AS r FROM l) "
+    "SELECT phid, r.s::BIGINT AS size, r.n::BIGINT AS objects FROM r"
+)
 def clamped_rollup(spark, d):
     return txlog.clamped_rollup(log(spark, d), ["phid"], ["generation"])
 
@@ -390,9 +393,14 @@ HISTORY = "WITH v AS (SELECT l_orderkey AS object, (CASE WHEN l_returnflag = 'R'
 
 
 def one_of_each(spark, d):
-    """Ties in generation and time go to the greatest content, in both engines."""
+    """Ties in generation and time go to the greatest content, in both engines: all in one number, so that rows are hashed and not sorted."""
     v = history(spark, d)
-    return v.groupBy("object", F.abs("generation").alias("_g")).agg(F.max(F.struct("uvid_ts", "generation", "content", "size")).alias("r")).select("object", "r.generation", "r.uvid_ts", "r.content", "r.size")
+    digits = [(F.col("uvid_ts"), 1 << 40), (F.col("generation") + 64, 1 << 7), (F.col("content"), 1 << 40), (F.col("size"), 1 << 31)]
+    order = F.lit(0).cast("decimal(38,0)")
+    for c, base in digits:
+        order = order * F.lit(base).cast("decimal(13,0)") + c
+    got = v.groupBy("object", F.abs("generation").alias("_g")).agg(*(F.max_by(c, order).alias(c) for c in ("generation", "uvid_ts", "content", "size")))
+    return got.select("object", "generation", "uvid_ts", "content", "size")
 
 
 ONE = HISTORY.rstrip() + ", o AS (SELECT object, max(struct_pack(uvid_ts := uvid_ts, generation := generation, content := content, size := size)) AS r FROM v GROUP BY object, abs(generation)), u AS (SELECT object, r.generation AS generation, r.uvid_ts AS uvid_ts, r.content AS content, r.size AS size FROM o) "
@@ -555,9 +563,9 @@ def counter_rate(spark, d):
     return stats.rates(user_events(spark, d), ["user_id"], ["event_id"], "v").select("user_id", "event_id", "rate")
 
 
-@query("WITH x AS (SELECT user_id, event_id, event_id % 3 AS len, event_id AS off FROM events), b AS (SELECT *, CASE WHEN lag(off + len) OVER w IS NOT DISTINCT FROM off THEN 0 ELSE 1 END AS n FROM x WINDOW w AS (PARTITION BY user_id % 3 ORDER BY event_id)) SELECT event_id, sum(n) OVER (PARTITION BY user_id % 3 ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b")
+@query("WITH x AS (SELECT user_id, event_id, event_id % 3 AS len, event_id AS off FROM events), b AS (SELECT *, CASE WHEN lag(off + len) OVER w IS NOT DISTINCT FROM off THEN 0 ELSE 1 END AS n FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM b")
 def sequential_reads(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 3).alias("u"), "event_id", F.col("event_id").alias("off"), (F.col("event_id") % 3).alias("len"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("u"), "event_id", F.col("event_id").alias("off"), (F.col("event_id") % 3).alias("len"))
     return stats.sequential_reads(e, ["u"], ["event_id"], "off", "len").select("event_id", "run")
 
 
@@ -627,13 +635,8 @@ def row_usage(spark, d):
 # --- scalars ---
 
 
-@query("SELECT page_id, translate(substring(html, 1, 200), '<>', '[]') AS clean FROM pages")
-def sanitize(spark, d):
-    return table(spark, d, "pages").select("page_id", S.sanitize(F.substring("html", 1, 200)).alias("clean"))
-
-
 @query("SELECT page_id, translate(html, '<>', '[]') AS clean FROM pages")
-def sanitize_all(spark, d):
+def sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", S.sanitize(F.col("html")).alias("clean"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import os
 import tempfile
 import uuid
 import zipfile
@@ -35,10 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset (tests), a folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lodestream-shared")
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below the warehouse, which executors share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lodestream-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

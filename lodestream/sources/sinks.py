@@ -5,7 +5,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import index
@@ -74,3 +74,21 @@ def bucket_xml(df: DataFrame, path: str) -> None:
 
 def stats_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def librato(df: DataFrame, source: str, most: int = 500) -> DataFrame:
+    """Rows (name, value, ts) as request bodies of at most ``most`` gauges each, by ranges of name hashes."""
+    gauge = F.struct("name", F.lit(source).alias("source"), F.col("value").cast("double").alias("value"), F.col("ts").alias("measure_time"))
+    w = Window.partitionBy("ts", F.pmod(F.xxhash64("name"), F.lit(64)).alias("_b")).orderBy("name")
+    chunked = df.withColumn("_b", F.pmod(F.xxhash64("name"), F.lit(64))).withColumn("_k", F.floor((F.row_number().over(w) - 1) / most))
+    return chunked.groupBy("ts", "_b", "_k").agg(F.to_json(F.struct(F.array_sort(F.collect_list(gauge)).alias("gauges"))).alias("value")).select("value")
+
+
+def ganglia(df: DataFrame, units: str = "units", tmax: int = 60, dmax: int = 0) -> DataFrame:
+    """Rows (name, value) as the arguments of one metric command a line."""
+    return df.select(F.concat(F.lit("--name="), "name", F.lit(" --value="), F.format_string("%.6f", F.col("value").cast("double")), F.lit(f" --type=double --units={units} --tmax={tmax} --dmax={dmax}")).alias("value"))
+
+
+def octets(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values alone, as bytes, in order of their keys: what a client gets that asks for no form."""
+    return df.orderBy(key).select(F.encode(F.col(value).cast("string"), "utf-8").alias("value"))
