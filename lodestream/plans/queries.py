@@ -640,6 +640,9 @@ def sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", S.sanitize(F.col("html")).alias("clean"))
 
 
+SQL["sanitize_all"], QUERIES["sanitize_all"] = SQL["sanitize"], sanitize
+
+
 @query("SELECT p_partkey, (p_size * power(1024, p_partkey % 5))::BIGINT AS bytes FROM part")
 def size_parse(spark, d):
     unit = F.element_at(F.array(*map(F.lit, ["", "K", "M", "G", "T"])), (F.col("p_partkey") % 5 + 1).cast("int"))

@@ -264,3 +264,77 @@ def test_clamped_rollup_gathers_no_bucket(spark):
     assert "collect_list" not in got._jdf.queryExecution().toString()
     want = {b: (sum(i % 5 for i in range(20_000) if (i % 3 == 0) == (b == "a") and (b is None or i > 9)), sum((i % 3 == 0) == (b == "a") for i in range(20_000))) for b in ("a", None)}
     assert {r["b"]: (r["size"], r["objects"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["latest_version", "snapshot_rollback", "version_expunge", "log_apply", "log_dedup", "gauge_last", "kway_merge"])
+def test_latest_rows_are_hashed_and_not_sorted(spark, name):
+    from lodestream.plans import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+@pytest.mark.parametrize("last", [True, False])
+def test_picked_rows_are_whole(spark, last):
+    from lodestream.operators.rows import pick
+
+    r = random.Random(last)
+    rows = [(r.choice([1, 2, None]), r.choice([-3, 0, 5, 1 << 60, None]), r.randint(-9, 9), k, str(k)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, a long, b int, n long, t string").repartition(3)
+    best = {}
+    for k, a, b, *_ in rows:
+        v = (-(1 << 62) if a is None else a, b)
+        best[k] = v if k not in best else (max if last else min)(best[k], v)
+    for d in (df, df.drop("t")):
+        got = pick(d, ["k"], ["a", "b"], last).collect()
+        assert {x["k"]: (-(1 << 62) if x["a"] is None else x["a"], x["b"]) for x in got} == best and len(got) == len(best)
+        # every row is one of the input's
+        assert all((x["k"], x["a"], x["b"], x["n"]) == rows[x["n"]][:4] for x in got)
+    assert pick(df.where("false"), ["k"], ["a"]).count() == 0
+
+
+def test_checksums_and_small_scalars(spark):
+    one = spark.range(1).select(S.crc32c(F.lit(b"123456789")).alias("crc"), S.crc32c(F.lit(b"")).alias("empty"), S.compression_ratio(F.lit(b"a" * 1000)).alias("r"), S.is_zero_block(F.lit(bytes(8))).alias("z"), S.from_base64(F.lit("%%")).alias("bad")).first()
+    assert one["crc"] == 0xE3069283 and one["empty"] == 0 and one["r"] < 0.1 and one["z"] and one["bad"] is None
+    head, tail = S.split_at(F.col("t"), "::")
+    got = spark.createDataFrame([("a::b::c",), ("abc",), ("::x",), (None,)], "t string").select(head.alias("h"), tail.alias("x")).collect()
+    assert [tuple(r) for r in got] == [("a", "b::c"), ("abc", None), ("", "x"), (None, None)]
+
+
+def test_ranges_of_objects(spark):
+    texts = [(1, "abcdefghij" * 7), (2, "xy"), (3, ""), (4, None)]
+    c = content.chunks(spark.createDataFrame(texts, "k long, t string"), "k", "t", 8)
+    for at, n in ((0, 5), (6, 20), (8, 8), (60, 100), (90, 1)):
+        got = {r["k"]: r["data"] for r in content.read_range(c, "k", "chunk_no", "chunk", "len", at, n).collect()}
+        assert got == {k: t[at : at + n] for k, t in texts if t and t[at : at + n]}
+
+
+def test_combinations_and_subsets(spark):
+    import itertools
+
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["a"],), ([],)], "x array<string>")
+    for k in (1, 2, 3):
+        got = [r[0] for r in df.select(content.combinations(F.col("x"), k)).collect()]
+        assert got == [[list(c) for c in itertools.combinations(r[0], k)] for r in df.collect()]
+    assert [r[0] for r in df.select(content.is_subset(F.array(F.lit("a")), F.col("x"))).collect()] == [True, True, False]
+
+
+def test_exact_quantiles_of_nulls_and_ties(spark):
+    rows = [("a", float(v)) for v in [1] * 90 + [2] * 8 + [3] * 2] + [("a", None), ("b", None)]
+    got = {r["name"]: tuple(r)[1:] for r in metrics.quantiles_exact(spark.createDataFrame(rows, "name string, value double"), ["name"]).collect()}
+    assert got == {"a": (1.0, 2.0, 3.0, 101), "b": (None, None, None, 1)}
+
+
+def test_keys_through_the_overlay(spark):
+    base = spark.createDataFrame([("a", "1"), ("b", "2"), ("bc", "3"), ("c", "4")], "key string, value string")
+    changes = spark.createDataFrame([("b", None, "DEL"), ("bd", "5", "PUT")], "key string, value string, action string")
+    page = lambda **kw: [tuple(r) for r in index.overlay_scan(base, changes, "key", "value", "b", **kw).collect()]
+    assert page(strict=True) == [("bc", "3"), ("bd", "5")] and page() == [("bc", "3"), ("bd", "5"), ("c", "4")] and page(limit=1) == [("bc", "3")]
+    newer = index.overlay_put(changes, spark.createDataFrame([("b", "6", "PUT")], changes.schema), "key")
+    assert index.overlay_find(base, newer, "key", "value", "b").first()["value"] == "6" and index.overlay_find(base, changes, "key", "value", "b").count() == 0
+
+
+def test_names_that_evict_others(spark):
+    rows = [("fam.x.1", 1.0, 1), ("fam.x.2", 2.0, 2), ("other.x.1", 3.0, 1), ("other.x.2", 4.0, 1)]
+    got = {r["key"]: r["value"] for r in metrics.latest_values(spark.createDataFrame(rows, "name string, value double, ts long"), ["ts"], families=("fam.",)).collect()}
+    assert got == {"fam.x": 2.0, "other.x.1": 3.0, "other.x.2": 4.0}
