@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -47,6 +48,13 @@ def stored(df: DataFrame, path: str | None = None, spark: SparkSession | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of finished steps on the driver: plans that only cycles of Python objects hold, and then what the JVM
+    holds for them. Spark's cleaner drops broadcasts and shuffles of data frames that are gone, on the executors too."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Hand at most this many rows at once to Python within the block: for rows that grow while they are worked on."""
