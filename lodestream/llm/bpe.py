@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import most_frequent, stored
+from ..session import most_frequent, settle, stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -250,10 +250,12 @@ def _as_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, HotIds]:
     """The frequent words and their ids: at most ``most`` words of at most 64 bytes, each twice or more in all texts."""
     counts = docs.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    hot = most_frequent(stored(counts), "n", most).select("word")
+    counts = stored(counts)
+    settle(docs.sparkSession)
+    hot = most_frequent(counts, "n", most).select("word")
     rows = hot.mapInArrow(_as_bytes, "lengths binary, flat binary, words array<array<int>>").select("lengths", "flat", encode_words(F.col("words"), path).alias("ids"))
     got = rows.mapInArrow(_as_blobs, "lengths binary, flat binary, sizes binary, ids binary").toArrow()
-    lengths, flat, sizes, ids = (np.frombuffer(b"".join(x.as_py() for x in got.column(c)), t) for c, t in (("lengths", "<u4"), ("flat", np.uint8), ("sizes", "<u4"), ("ids", "<u2")))
+    lengths, flat, sizes, ids = (tv.from_arrow(got.column(c)).buf.view(t) for c, t in (("lengths", "<u4"), ("flat", np.uint8), ("sizes", "<u4"), ("ids", "<u2")))
     lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
     begin, id_begin = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
     h = tv.span_hash(flat, begin, begin + lengths)
@@ -261,7 +263,8 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, Ho
     edge = lambda x: np.concatenate([[0], np.cumsum(x[order])]).astype(np.int32)
     out = Hot(h[order], edge(lengths), tv.gather(flat, begin[order], lengths[order])), HotIds(edge(sizes), tv.gather(ids, id_begin[order], sizes[order]))
     del got, rows
-    tv.give_back(driver=True)
+    settle(docs.sparkSession)
+    tv.give_back()
     return out
 
 

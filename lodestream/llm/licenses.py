@@ -1,15 +1,17 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph (a line with a word) is a sparse vector of hashed word unigrams and bigrams. A multinomial
-logistic regression over the licence families and a class of ordinary text is fitted on the driver on
-``EXAMPLES`` paragraphs for each class: notices and template passages written by rule for the
-families, look-alikes and a bounded sample of the corpus's own lines for ordinary text. A temperature
-fitted on held-out examples calibrates the probabilities; a paragraph that is not ordinary text but
+A line with a word is a sparse vector of hashed word unigrams and bigrams. A multinomial logistic regression
+over the licence families and a class of ordinary text is fitted on the driver on ``EXAMPLES`` paragraphs for
+each class: notices and template passages written by rule for the families, look-alikes and a bounded sample
+of the corpus's own lines for ordinary text. Lines that are not ordinary text, and that no blank line and at
+most ``GAP`` other lines part, are one paragraph (a notice is often wrapped), and are judged together. Held-out
+examples are written by other forms, and cut at other places of the passages, than those that are fitted. A
+temperature fitted on them calibrates the probabilities; a paragraph that is not ordinary text but
 whose best family stays under the probability that keeps held-out precision at ``PRECISION`` is of the
 unknown class. A family is confirmed if ``CONTAINED`` of the paragraph's or of one of its templates'
 bigrams lies in the other.
 
-Defined results: a null or empty text has no paragraphs and no licence; lines equal to each other are
+Defined results: a null or empty text has no paragraphs and no licence; paragraphs equal to each other are
 judged alike and counted each; repeated rows are scanned alike; an empty table gives an empty table;
 kept columns pass through, added ones replace columns of the same name.
 """
@@ -44,10 +46,10 @@ NAMES = {
     "CC BY-NC": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "the Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC-ND 4.0"],
 }
 TEXTS = {
-    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
-    "Apache": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "Apache": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
-    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
+    "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "You should have received a copy of the GNU General Public License along with this program"],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
@@ -72,7 +74,7 @@ OTHER = [
 FAMILIES = list(NAMES)
 NOTHING, UNKNOWN = len(FAMILIES), "unknown"
 BUCKETS, EXAMPLES, LINES = 1 << 14, 400, 4000
-PRECISION, CONTAINED = 0.995, 0.5
+PRECISION, CONTAINED, GAP = 0.995, 0.5, 2
 
 
 class Grams(NamedTuple):
@@ -132,16 +134,22 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
-def examples(family: int, rng: np.random.Generator, n: int = EXAMPLES) -> list[str]:
-    """Paragraphs of one family by rule: notices and passages of its templates, with a few words around."""
+def examples(family: int, rng: np.random.Generator, held_out: bool, n: int = EXAMPLES) -> list[str]:
+    """Paragraphs of one family by rule: notices and passages of its templates, with a few words around.
+
+    Every fourth form is for held-out examples only, and so are passages that begin at an odd word (a passage that
+    is taken whole begins at the first).
+    """
     name, out = FAMILIES[family], []
+    forms = [f for i, f in enumerate(FORMS) if (i % 4 == 3) == held_out]
     for k in range(n):
         if k % 3:
-            text = FORMS[k % len(FORMS)].format(NAMES[name][int(rng.integers(len(NAMES[name])))])
+            text = forms[k % len(forms)].format(NAMES[name][int(rng.integers(len(NAMES[name])))])
         else:
             words = TEXTS[name][int(rng.integers(len(TEXTS[name])))].split()
             size = int(rng.integers(min(12, len(words)), len(words) + 1))
-            a = int(rng.integers(0, len(words) - size + 1))
+            a = int(rng.integers(0, len(words) - size + 1)) // 2 * 2 + held_out
+            a = a if a + size <= len(words) else max(a - 2, 0)
             text = " ".join(words[a : a + size])
         if k % 5 == 0:
             text = f"Copyright (c) {int(rng.integers(1990, 2030))} The Authors. {text}"
@@ -195,12 +203,10 @@ def fit(corpus_lines: list[str], seed: int = 11) -> Model:
     templates = template_bigrams()
     fit_lines, fit_y, held_lines, held_y = [], [], [], []
     for c in range(len(FAMILIES)):
-        got = examples(c, rng)
-        cut = len(got) * 3 // 4
-        fit_lines += got[:cut]
-        fit_y += [c] * cut
-        held_lines += got[cut:]
-        held_y += [c] * (len(got) - cut)
+        fit_lines += examples(c, rng, False)
+        fit_y += [c] * EXAMPLES
+        held_lines += examples(c, rng, True, EXAMPLES // 3)
+        held_y += [c] * (EXAMPLES // 3)
     # lines of the corpus that look like no template are ordinary text
     b = tv.from_texts(corpus_lines)
     g = grams(b, b.offs[:-1])
@@ -233,19 +239,31 @@ def fit(corpus_lines: list[str], seed: int = 11) -> Model:
     return Model(w.astype(np.float32), temperature, max(0.5, least), templates)
 
 
+def _scored(m: Model, b: tv.Batch, start: np.ndarray) -> tuple[Grams, np.ndarray]:
+    g = grams(b, start)
+    return g, _softmax(_sums(m.weight, g, len(start)) / m.temperature) if len(start) else np.zeros((0, NOTHING + 1))
+
+
 def judge(m: Model, b: tv.Batch) -> dict[str, np.ndarray]:
-    """For each line with a licence: text, line number in it, family (NOTHING: unknown), probability, confirmed; and lines in each text."""
+    """For each paragraph with a licence: text, its first line's number in it, lines, family (NOTHING: unknown), probability, confirmed; and lines in each text."""
     n = len(b.offs) - 1
     start, doc = lines_of(b)
-    g = grams(b, start)
+    g, p = _scored(m, b, start)
     filled = np.bincount(g.line, minlength=len(start)) > 0
     number = np.arange(len(start)) - np.searchsorted(doc, doc)
-    p = _softmax(_sums(m.weight, g, len(start)) / m.temperature) if len(start) else np.zeros((0, NOTHING + 1))
     found = np.flatnonzero(filled & (p[:, NOTHING] < 0.5))
-    family = p[found, :NOTHING].argmax(1) if len(found) else np.zeros(0, np.int64)
-    prob = p[found, family] if len(found) else np.zeros(0)
-    confirmed = np.zeros(len(found), bool)
-    lo, hi = np.searchsorted(g.raw_line, found), np.searchsorted(g.raw_line, found, side="right")
+    blank = np.concatenate([[0], np.cumsum(~filled)])
+    # the first line of each paragraph
+    apart = (doc[found[1:]] != doc[found[:-1]]) | (np.diff(found) > GAP + 1) | (blank[found[1:]] > blank[found[:-1]])
+    first = np.flatnonzero(np.append(True, apart)) if len(found) else np.zeros(0, np.int64)
+    head, tail = found[first], found[np.append(first[1:], len(found)) - 1] if len(found) else found
+    end = np.append(start[1:], len(b.buf))[tail]
+    pieces = tv.Batch(tv.gather(b.buf, start[head], end - start[head]), np.concatenate([[0], np.cumsum(end - start[head])]).astype(np.int64))
+    g, p = _scored(m, pieces, pieces.offs[:-1])
+    family = p[:, :NOTHING].argmax(1) if len(head) else np.zeros(0, np.int64)
+    prob = p[np.arange(len(head)), family]
+    confirmed = np.zeros(len(head), bool)
+    lo, hi = np.searchsorted(g.raw_line, np.arange(len(head))), np.searchsorted(g.raw_line, np.arange(len(head)), side="right")
     for k, (a, z) in enumerate(zip(lo.tolist(), hi.tolist())):
         own = np.unique(g.raw[a:z])
         for t in m.templates[family[k]]:
@@ -253,7 +271,8 @@ def judge(m: Model, b: tv.Batch) -> dict[str, np.ndarray]:
             if both and both >= CONTAINED * min(len(own), len(t)):
                 confirmed[k] = True
                 break
-    return {"doc": doc[found], "line": number[found], "family": np.where(prob >= m.least, family, NOTHING), "prob": prob, "confirmed": confirmed & (prob >= m.least), "lines": np.bincount(doc[filled], minlength=n).astype(np.int64)}
+    sure = prob >= m.least
+    return {"doc": doc[head], "line": number[head], "size": tail - head + 1, "family": np.where(sure, family, NOTHING), "prob": prob, "confirmed": confirmed & sure, "lines": np.bincount(doc[filled], minlength=n).astype(np.int64)}
 
 
 def learn(docs: DataFrame, lines: int = LINES) -> Model:
@@ -269,7 +288,7 @@ def scan(docs: DataFrame, model: Model | None = None, keep: list[str] | None = N
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model or learn(docs))
-    span = T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
+    span = T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("lines", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_paragraphs", T.LongType()), T.StructField("n_license", T.LongType()), T.StructField("family", T.StringType()), T.StructField("families", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))])
     names = np.array([*FAMILIES, UNKNOWN], object)
 
@@ -281,7 +300,7 @@ def scan(docs: DataFrame, model: Model | None = None, keep: list[str] | None = N
             r = judge(m, tv.from_arrow(rb.column("text")))
             label = names[np.where(r["confirmed"], r["family"], NOTHING)]
             edge = np.searchsorted(r["doc"], np.arange(n + 1)).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(r["line"], pa.int64()), pa.array(label, pa.string()), pa.array(r["prob"], pa.float64()), pa.array(r["confirmed"])], names=["paragraph", "family", "probability", "confirmed"])
+            items = pa.StructArray.from_arrays([pa.array(r["line"], pa.int64()), pa.array(r["size"], pa.int64()), pa.array(label, pa.string()), pa.array(r["prob"], pa.float64()), pa.array(r["confirmed"])], names=["paragraph", "lines", "family", "probability", "confirmed"])
             spans = pa.ListArray.from_arrays(pa.array(edge), items)
             tops, families = [], []
             for a, z in zip(edge[:-1], edge[1:]):

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import settle, stored
 from . import textvec as tv
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -216,7 +216,7 @@ def fit(stats: DataFrame) -> DataFrame:
         falls = F.col("_n").isNotNull() & (F.col("logdet").isNull() | (F.col("_n.logdet") < F.col("logdet") - 1e-9))
         old = F.struct("rows", "centre", "inverse", "logdet")
         best = stored(best.join(step, group, "left").select(*group, F.when(falls, F.col("_n")).otherwise(old).alias("_b"), falls.alias("_moving")).select(*group, "_b.*", "_moving"))
-    tv.give_back(driver=True)
+    settle(stats.sparkSession)
     least = F.min_by(F.struct("rows", "centre", "inverse"), F.struct("logdet", "_start"))
     return stored(best.groupBy("_key").agg(least.alias("_b")).select("_key", "_b.*"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import least_hashed
+from ..session import least_hashed, settle
 from . import outliers
 from . import textvec as tv
 
@@ -151,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     x, y = training_rows(docs, labels)
     model = fit(x, y) if len(set(y.tolist())) == 2 else None
     del x
-    tv.give_back(driver=True)
+    settle(docs.sparkSession)
+    tv.give_back()
     return model
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import most_frequent, stored
+from ..session import most_frequent, settle, stored
 from . import textvec as tv
 
 SHINGLE, NUM, DEN = 5, 4, 5  # five words, Jaccard of 4/5 or more
@@ -300,7 +300,8 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     order = np.argsort(hashes)
     shared = docs.sparkSession.sparkContext.broadcast((hashes[order], rank[order]))
     del top, hashes, rank
-    tv.give_back(driver=True)
+    settle(docs.sparkSession)
+    tv.give_back()
     reps = stored(narrow.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("sid"), F.count("*").alias("rows")))
     copies = narrow.join(reps.where("rows > 1"), ["n", "h1", "h2"]).where("doc_id <> sid").select("doc_id", "sid")
 

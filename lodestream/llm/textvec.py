@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import unicodedata
 from typing import NamedTuple
 
@@ -312,10 +311,8 @@ def lean(work):
     return run
 
 
-def give_back(driver: bool = False) -> None:
-    """Freed memory goes back to the system. On the driver also what only cycles of objects hold, plans among it."""
-    if driver:
-        gc.collect()
+def give_back() -> None:
+    """Freed memory goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
