@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import most_frequent, settle, stored
 from . import textvec as tv
@@ -362,12 +363,27 @@ def join(docs: DataFrame) -> DataFrame:
     return members.join(comp, "sid", "left").select("doc_id", "n_shingles", F.coalesce("root", "sid").alias("component_id"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ``_key``: the doc_id, or a number of its own beyond all of them for each row that has none or shares it
+    with another text. Such rows are stored, so that their numbers stay."""
+    h = F.xxhash64("text")
+    odd = stored(docs.groupBy("doc_id").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi")).where("doc_id IS NULL OR _lo <> _hi").select("doc_id"))
+    if odd.isEmpty():
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    shared = odd.where("doc_id IS NOT NULL")
+    few = docs.where("doc_id IS NULL").unionByName(docs.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    rest = docs.where("doc_id IS NOT NULL").join(shared, "doc_id", "left_anti").select(*docs.columns)
+    return rest.withColumn("_key", F.col("doc_id").cast("long")).unionByName(stored(few.withColumn("_key", F.lit(top + 1) + F.monotonically_increasing_id())))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row for each component: that of the least doc_id. Rows without words are all kept, and rows without a doc_id if no copy has one."""
-    got = join(docs).groupBy("doc_id").agg(F.min("component_id").alias("_comp"))
-    names = docs.columns
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in names if c not in ("doc_id", "text")))
-    dropped = got.where("doc_id IS NOT NULL AND _comp < doc_id").select("doc_id")
-    left = docs.join(dropped, "doc_id", "left_anti")
-    ids = left.where("doc_id IS NOT NULL").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    return ids.select(*names).unionByName(left.where("doc_id IS NULL").select(*names))
+    """One row for each component, with its columns as they are: that of the least doc_id; a row without a doc_id stays only if
+    no linked one has one. Rows without words are all kept, but for repetitions of a doc_id and its text."""
+    safe, back = tv.guarded(docs, ("doc_id", "text"))
+    keyed = _keyed(safe)
+    got = join(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    dropped = got.where("component_id < doc_id").select(F.col("doc_id").alias("_key")).distinct()
+    ordered = [c for c in safe.columns if c != "text" and not isinstance(safe.schema[c].dataType, (T.MapType, T.VariantType))]
+    first = Window.partitionBy("_key").orderBy(*ordered)
+    return keyed.join(dropped, "_key", "left_anti").withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*back)
