@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import txlog
+from ..operators.rows import pick
 from ..session import stored
 
 
@@ -43,9 +44,7 @@ def applied(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame
                     raise
         rows = batch if old is None else old.unionByName(batch)
         # deletions stay in the table until a later batch could no longer meet an older row of theirs
-        rest = [c for c in rows.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
-        stored(last.select(*batch.columns), f"{path}/v{number}", spark)
+        stored(pick(rows, keys, order).select(*batch.columns), f"{path}/v{number}", spark)
 
     return write
 
