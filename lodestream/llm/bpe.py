@@ -40,7 +40,7 @@ from ..session import most_frequent, settle, stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, MAX_HOT, LONG = 1 << 21, 1 << 20, 256
+CHUNK_BYTES, MAX_HOT, LONG, COUNTED = 1 << 21, 1 << 20, 256, 1 << 20
 NONE = SHIFT = 65536  # ids and ranks are below; as a rank: no token
 FREE = (1 << 48) - 1  # the key of no pair
 PLACE, RANK = 16, 46  # bits below a part's place, and below the rank of its pair
@@ -209,24 +209,31 @@ def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 @tv.lean
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words of up to 64 bytes of each batch, with their counts there."""
-    for rb in batches:
-        parts = []
-        for part in tv.slices([rb]):
-            b = tv.from_arrow(part.column("text"))
-            s = tv.pretokens(b)
-            size = s.end - s.start
-            start, end = s.start[size <= 64], s.end[size <= 64]
-            h, first, often = np.unique(tv.span_hash(b.buf, start, end), return_index=True, return_counts=True)
-            size = end[first] - start[first]
-            parts.append((h, often, size, tv.gather(b.buf, start[first], size)))
-        if parts:
-            h, often, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            begin = np.cumsum(size) - size
-            # words that share a hash are counted as one of them here: that concerns only which words are in the dictionary
-            known, one, where = np.unique(h, return_index=True, return_inverse=True)
-            count = np.bincount(where, weights=often, minlength=len(known)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_binaries(tv.gather(flat, begin[one], size[one]), size[one]), pa.array(count)], names=["word", "n"])
+    """The distinct words of up to 64 bytes, with their counts, of as many neighbouring texts as have COUNTED of them."""
+    parts, held = [], 0
+
+    def merged() -> pa.RecordBatch:
+        h, often, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        begin = np.cumsum(size) - size
+        # words that share a hash are counted as one of them here: that concerns only which words are in the dictionary
+        known, one, where = np.unique(h, return_index=True, return_inverse=True)
+        count = np.bincount(where, weights=often, minlength=len(known)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([_binaries(tv.gather(flat, begin[one], size[one]), size[one]), pa.array(count)], names=["word", "n"])
+
+    for part in tv.slices(batches):
+        b = tv.from_arrow(part.column("text"))
+        s = tv.pretokens(b)
+        size = s.end - s.start
+        start, end = s.start[size <= 64], s.end[size <= 64]
+        h, first, often = np.unique(tv.span_hash(b.buf, start, end), return_index=True, return_counts=True)
+        size = end[first] - start[first]
+        parts.append((h, often, size, tv.gather(b.buf, start[first], size)))
+        held += len(h)
+        if held > COUNTED:
+            yield merged()
+            parts, held = [], 0
+    if parts:
+        yield merged()
 
 
 @tv.lean
