@@ -264,11 +264,16 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, Ho
     got = rows.mapInArrow(_as_blobs, "lengths binary, flat binary, sizes binary, ids binary").toArrow()
     lengths, flat, sizes, ids = (tv.from_arrow(got.column(c)).buf.view(t) for c, t in (("lengths", "<u4"), ("flat", np.uint8), ("sizes", "<u4"), ("ids", "<u2")))
     lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
-    begin, id_begin = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
-    h = tv.span_hash(flat, begin, begin + lengths)
+    end = np.cumsum(lengths)
+    begin, parts = end - lengths, []
+    for a in range(0, len(lengths), 1 << 16):  # the driver holds the dictionary, and little beside it
+        z = min(a + (1 << 16), len(lengths))
+        parts.append(tv.span_hash(flat[begin[a] : end[z - 1]], begin[a:z] - begin[a], end[a:z] - begin[a]))
+    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     order = np.argsort(h, kind="stable")
     edge = lambda x: np.concatenate([[0], np.cumsum(x[order])]).astype(np.int32)
-    out = Hot(h[order], edge(lengths), tv.gather(flat, begin[order], lengths[order])), HotIds(edge(sizes), tv.gather(ids, id_begin[order], sizes[order]))
+    sorted_ = lambda data, sizes: tv.from_arrow(_binaries(data, sizes).take(pa.array(order))).buf
+    out = Hot(h[order], edge(lengths), sorted_(flat, lengths)), HotIds(edge(sizes), sorted_(ids.view(np.uint8), 2 * sizes).view("<u2"))
     del got, rows
     settle(docs.sparkSession)
     tv.give_back()

@@ -47,7 +47,7 @@ SHARD_BYTES = 24 << 20
 TERMINALS, MAX_SYMBOLS = 1 << 16, 1 << 17
 LEAST, WORTH = 16, 4  # occurrences that make a pair frequent, and replacements that pay for a rule of three numbers
 KNOTS, MAX_TASKS, GROUP = 512, 20_000, 1024  # most quantiles, most tasks that write, shards summed up together
-CACHE_BITS, MAX_CACHED_IDS = 20, 1 << 22
+CACHE_BITS, MAX_CACHED_IDS, MAX_CACHED_BYTES = 21, 1 << 24, 1 << 25  # words, their ids and their bytes: 110 MB at the most
 #: A page for each file: pages are read as a whole, and the writer's default looks at their size every 100 rows only.
 PAGES = {"parquet.page.size": "1048576", "parquet.page.size.row.check.min": "1"}
 
@@ -136,7 +136,7 @@ class Words:
     def encode(self, b: tv.Batch) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts, end id included, and where each text's ids begin (len = texts + 1)."""
         n = len(b.offs) - 1
-        if self.used + self.held > MAX_CACHED_IDS:
+        if self.used > MAX_CACHED_IDS or self.held > MAX_CACHED_BYTES:
             self.clear()
         s = tv.pretokens(b)
         h, head = tv.span_keys(b.buf, s.start, s.end)
