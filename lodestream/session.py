@@ -15,19 +15,23 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, PLAN_TEXT = 8 << 20, 100_000
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each Spark application.
 
     The session's Arrow batches are cut to ``BATCH_BYTES`` where they may be larger: so many bytes, and not so many rows,
-    are what a task holds on both sides, however long texts are.
+    are what a task holds on both sides, however long texts are. Texts of plans are cut to ``PLAN_TEXT`` characters.
     """
     sc = spark.sparkContext
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    # plans hold tables as literals: their texts, which Spark keeps for its listeners, are cut
+    name = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(name)) > PLAN_TEXT:
+        spark.conf.set(name, str(PLAN_TEXT))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
