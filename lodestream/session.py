@@ -25,13 +25,10 @@ def ship(spark: SparkSession) -> None:
     are what a task holds on both sides, however long texts are. Texts of plans are cut to ``PLAN_TEXT`` characters.
     """
     sc = spark.sparkContext
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
     # plans hold tables as literals: their texts, which Spark keeps for its listeners, are cut
-    name = "spark.sql.maxPlanStringLength"
-    if int(spark.conf.get(name)) > PLAN_TEXT:
-        spark.conf.set(name, str(PLAN_TEXT))
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.maxPlanStringLength", PLAN_TEXT)):
+        if int(sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > most:
+            spark.conf.set(name, str(most))
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parent
