@@ -40,7 +40,7 @@ from ..session import most_frequent, settle, stored
 from . import textvec as tv
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_BYTES, MAX_HOT, LONG, COUNTED = 1 << 21, 1 << 20, 256, 1 << 20
+CHUNK_BYTES, MAX_HOT, LONG, COUNTED = 1 << 21, 1 << 19, 256, 1 << 20
 NONE = SHIFT = 65536  # ids and ranks are below; as a rank: no token
 FREE = (1 << 48) - 1  # the key of no pair
 PLACE, RANK = 16, 46  # bits below a part's place, and below the rank of its pair
