@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chunk_split
+from .rows import range_of
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -100,14 +101,14 @@ def placement(df: DataFrame, key, rows: int) -> DataFrame:
 def ring_owner(keys: DataFrame, ring: DataFrame, h: str) -> DataFrame:
     """The server with the least ring position at or after the key's hash, around the ring. ring: (pos, server), of any size.
 
-    Keys and ring positions are dealt out by ranges of the ring and sorted once; going down, each key sees the last
-    position above it. A range's uppermost keys take the first position of the ranges after it, the last
+    Keys and ring positions are dealt out by fixed ranges of the ring and sorted once; going down, each key sees the last
+    position above it. A key without a hash takes the first position of all. A range's uppermost keys take the first position of the ranges after it, the last
     range's those of the first: one row for each range, which is all that is collected in one place.
     """
     names = keys.columns
-    on_ring = ring.select(F.col("pos").cast("long").alias("_h"), F.struct(F.col("pos").cast("long").alias("pos"), "server").alias("_s"), *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in names))
+    on_ring = ring.where("pos IS NOT NULL").select(F.col("pos").cast("long").alias("_h"), F.struct(F.col("pos").cast("long").alias("pos"), "server").alias("_s"), *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in names))
     both = keys.select(F.col(h).cast("long").alias("_h"), F.lit(None).cast(on_ring.schema["_s"].dataType).alias("_s"), *names).unionByName(on_ring)
-    dealt = both.repartitionByRange("_h").withColumn("_p", F.spark_partition_id())
+    dealt = both.withColumn("_p", F.coalesce(range_of(both, "_h"), F.lit(0)))
     down = Window.partitionBy("_p").orderBy(F.desc("_h"), F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     firsts = dealt.groupBy("_p").agg(F.min("_s.pos").alias("_pos"), F.min_by("_s.server", "_s.pos").alias("_first"))
     later = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,9 @@
-"""One row for each key: the first or the last in an order."""
+"""One row for each key, the first or the last in an order; ranges of a key."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,3 +35,26 @@ def pick(df: DataFrame, keys: list[str], order: list[str | Column], last: bool =
     cols = [c if isinstance(c, Column) else F.col(c) for c in order]
     w = Window.partitionBy(*keys).orderBy(*(c.desc() if last else c.asc() for c in cols))
     return df.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+
+
+def range_of(df: DataFrame, key: str, least: int = 1 << 14) -> Column:
+    """The number of the range that a row's key lies in, null for a null key; ranges go up with the key and hold about equally many rows, ``least`` or more.
+
+    The bounds are keys of a sample of bounded size and stand in the plan as literals, so the number follows from the key
+    alone and all uses of it agree. The number of a shuffle partition does not: each place that reads it may have its own
+    bounds, and adaptive execution may join partitions in one place and not in another.
+    """
+    keys, kind = df.select(F.col(key).alias("k")).where("k IS NOT NULL"), T.ArrayType(df.schema[key].dataType)
+    rows = keys.count()
+    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // least))
+    some = keys.sample(min(1.0, 40 * n / rows), 0).agg(F.sort_array(F.collect_list("k")).alias("ks")).first()["ks"] if n > 1 else []
+    bounds = list(dict.fromkeys(some[len(some) * i // n] for i in range(1, n) if some))
+    if not bounds:
+        return F.when(F.col(key).isNotNull(), 0)
+    # two steps of about the root of their number, instead of a look at every bound
+    wide = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.col(key)))
+    group = below(F.lit([g[0] for g in groups]).cast(kind)) - 1
+    inside = below(F.get(F.array(*(F.lit(g).cast(kind) for g in groups)), group))
+    return F.when(F.col(key).isNotNull(), F.when(group < 0, 0).otherwise(group * wide + inside))
