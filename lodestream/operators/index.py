@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import pick
+from .rows import pick, range_of
 
 
 def range_page(df: DataFrame, key: str, marker: str | None = None, end: str | None = None, limit: int = 1000, inclusive: bool = False) -> DataFrame:
@@ -83,14 +83,14 @@ def apply_deltas(rows: DataFrame, deltas: DataFrame, key: str, cols: list[str])
 def pages(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
     """Every row with its page number: what a client that pages through all keys sees, each row once.
 
-    Rows of a range partition are numbered there and start from the rows before it.
+    Rows of a range of keys are numbered there and start from the rows before it. Null keys come last.
     """
-    numbered = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    numbered = df.withColumn("_p", F.coalesce(range_of(df, key), F.lit(1 << 30)))
     order = Window.partitionBy("_p").orderBy(key)
     rows = numbered.withColumn("_r", F.row_number().over(order))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = numbered.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return rows.join(starts, "_p").withColumn("page", F.floor((F.col("_s") + F.col("_r") - 1) / size).cast("long")).drop("_p", "_r", "_s")
+    return rows.join(F.broadcast(starts), "_p").withColumn("page", F.floor((F.col("_s") + F.col("_r") - 1) / size).cast("long")).drop("_p", "_r", "_s")
 
 
 def cmp_filter(df: DataFrame, key: str, pattern: str, cmp: int) -> DataFrame:

@@ -5,7 +5,7 @@ import bisect
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import content
+from lodestream.operators import content, index
 from lodestream.operators.rows import range_of
 
 
@@ -34,6 +34,15 @@ def test_ring_of_many_keys(small_partitions):
     assert all(own[i] == at[bisect.bisect_left(positions, i * 40503 % 1_000_003) % 700][1] for i in range(300_000))
 
 
+def test_pages_of_many_keys(small_partitions):
+    df = small_partitions.range(300_000).select(F.when(F.col("id") > 2, F.format_string("key%06d", F.col("id") * 7919 % 300_007)).alias("key"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    keys = sorted(f"key{i * 7919 % 300_007:06d}" for i in range(3, 300_000))
+    got = index.pages(df, "key", 1000).select("key", "page").collect()
+    assert len(got) == 300_000
+    assert sorted((r["key"], r["page"]) for r in got if r["key"]) == [(k, i // 1000) for i, k in enumerate(keys)]
+    assert [r["page"] for r in got if not r["key"]] == [299] * 3
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 def test_ranges_go_up_with_the_key(small_partitions, kind):
     spark = small_partitions
