@@ -47,8 +47,10 @@ def quantiles_approx(s: DataFrame, keys: list[str], eps: float = 0.01) -> DataFr
     return s.groupBy(*keys).agg(F.percentile_approx("value", [0.5, 0.95, 0.99], int(1 / eps)).alias("q"), F.count("*").alias("cnt"))
 
 
-def set_cardinality(s: DataFrame, keys: list[str], member: str, exact_to: int = 64, eps: float = 0.02) -> DataFrame:
-    """Exact for small sets, estimated beyond. Members are collapsed first, so the exact side counts at most exact_to + 1 of them."""
+def set_cardinality(s: DataFrame, keys: list[str], member: str, exact_to: int | None = 64, eps: float = 0.02) -> DataFrame:
+    """Exact for small sets, estimated beyond; with None exact for sets of any size. Members are collapsed first."""
+    if exact_to is None:
+        return s.groupBy(*keys).agg(F.count_distinct(member).alias("members"))
     one = s.where(F.col(member).isNotNull()).groupBy(*keys, member).agg(F.lit(1).alias("_one"))
     n = one.groupBy(*keys).agg(F.count("*").alias("_exact"), F.approx_count_distinct(member, eps).alias("_approx"))
     return n.select(*keys, F.when(F.col("_exact") <= exact_to, F.col("_exact")).otherwise(F.col("_approx")).alias("members"))
