@@ -141,7 +141,8 @@ def composed_name(*parts: Column) -> Column:
 
 
 def to_base64(b: Column) -> Column:
-    return F.base64(b)
+    """Without line breaks, which Spark puts after every 76 characters."""
+    return F.replace(F.base64(b), F.lit("\r\n"), F.lit(""))
 
 
 def from_base64(s: Column) -> Column:

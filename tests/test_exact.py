@@ -35,3 +35,9 @@ def test_large_sets_are_counted(spark, big_groups):
 
 def test_large_sets_are_flushed(spark, big_groups):
     same_as_sql(spark, "set_flush", big_groups, "events")
+
+
+def test_long_texts_as_base64(spark, tmp_path):
+    urls = ["", "http://a.example", "x" * 57, "x" * 58, "ü" * 400, None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    same_as_sql(spark, "base64_text", str(tmp_path), "pages")
