@@ -101,20 +101,30 @@ def unreachable(path: str) -> list[bytes]:
 
 def _literal(values, kind: str) -> Column:
     """A list as one literal: constant folding turns the parsed text into it."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encode_words(words: Column, path: str) -> Column:
-    """array<array<int>> of bytes to array<array<int>> of ids."""
+def rank_map(path: str) -> Column:
+    """Struct of bytes' ids and the pair table as literals.
+
+    Six of ten places are free. Those hold 0 here, which keeps the text short that the driver handles in many copies: 0 is
+    no key's entry but that of key 0, which looks at place 0 only, and there FREE stays.
+    """
+    rank = ranks(path)
+    entries = lambda t: _literal(np.where((t == FREE) & (np.arange(len(t)) > 0), 0, t).tolist(), "bigint")
+    one, two = map(entries, pair_table(path))
+    return F.struct(_literal([rank.get(bytes([b]), NONE) for b in range(256)], "int").alias("b"), one.alias("t1"), two.alias("t2"))
+
+
+def encode_words(words: Column, path: str, tables: Column | None = None) -> Column:
+    """array<array<int>> of bytes to array<array<int>> of ids; tables is the path's rank_map, if it is at hand."""
     rank = ranks(path)
     one, two = pair_table(path)
-    tables = F.struct(
-        _literal([rank.get(bytes([b]), NONE) for b in range(256)], "int").alias("b"), _literal(one.tolist(), "bigint").alias("t1"), _literal(two.tolist(), "bigint").alias("t2")
-    )
+    tables = rank_map(path) if tables is None else tables
     odd = [(list(t), rank[t]) for t in unreachable(path)]
     bits = lambda x, k: x.bitwiseAND(F.lit((1 << k) - 1).cast("long"))
     none, one_ = F.lit(NONE).cast("long"), F.lit(1)
@@ -254,13 +264,13 @@ def _as_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rb.column("lengths").slice(k, 1), rb.column("flat").slice(k, 1), pa.array([sizes], pa.binary()), pa.array([flat], pa.binary())], names=["lengths", "flat", "sizes", "ids"])
 
 
-def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, HotIds]:
+def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT, tables: Column | None = None) -> tuple[Hot, HotIds]:
     """The frequent words and their ids: at most ``most`` words of at most 64 bytes, each twice or more in all texts."""
     counts = docs.select("text").mapInArrow(_counted_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = stored(counts)
     settle(docs.sparkSession)
     hot = most_frequent(counts, "n", most).select("word")
-    rows = hot.mapInArrow(_as_bytes, "lengths binary, flat binary, words array<array<int>>").select("lengths", "flat", encode_words(F.col("words"), path).alias("ids"))
+    rows = hot.mapInArrow(_as_bytes, "lengths binary, flat binary, words array<array<int>>").select("lengths", "flat", encode_words(F.col("words"), path, tables).alias("ids"))
     got = rows.mapInArrow(_as_blobs, "lengths binary, flat binary, sizes binary, ids binary").toArrow()
     lengths, flat, sizes, ids = (tv.from_arrow(got.column(c)).buf.view(t) for c, t in (("lengths", "<u4"), ("flat", np.uint8), ("sizes", "<u4"), ("ids", "<u2")))
     lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
@@ -273,11 +283,7 @@ def dictionary(docs: DataFrame, path: str, most: int = MAX_HOT) -> tuple[Hot, Ho
     order = np.argsort(h, kind="stable")
     edge = lambda x: np.concatenate([[0], np.cumsum(x[order])]).astype(np.int32)
     sorted_ = lambda data, sizes: tv.from_arrow(_binaries(data, sizes).take(pa.array(order))).buf
-    out = Hot(h[order], edge(lengths), sorted_(flat, lengths)), HotIds(edge(sizes), sorted_(ids.view(np.uint8), 2 * sizes).view("<u2"))
-    del got, rows
-    settle(docs.sparkSession)
-    tv.give_back()
-    return out
+    return Hot(h[order], edge(lengths), sorted_(flat, lengths)), HotIds(edge(sizes), sorted_(ids.view(np.uint8), 2 * sizes).view("<u2"))
 
 
 def chunks(docs: DataFrame, keep: list[str], hot, most: int = CHUNK_BYTES) -> DataFrame:
@@ -310,8 +316,11 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     """The kept columns of docs (all, unless named) and the text's ids as array<int>."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     path = path or default_path()
-    words, ids_of = map(docs.sparkSession.sparkContext.broadcast, dictionary(docs, path, max_hot))
-    encoded = chunks(docs, keep, words, most).select("rest", "counts", "places", encode_words(F.col("words"), path).alias("ids"))
+    tables = rank_map(path)
+    words, ids_of = map(docs.sparkSession.sparkContext.broadcast, dictionary(docs, path, max_hot, tables))
+    tv.give_back()
+    settle(docs.sparkSession)
+    encoded = chunks(docs, keep, words, most).select("rest", "counts", "places", encode_words(F.col("words"), path, tables).alias("ids"))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     @tv.lean

@@ -1,6 +1,7 @@
 """Words and texts that are hard to tell apart, very long words, and columns that clash, against plain versions."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -160,3 +161,15 @@ def test_gif_streams_of_whole_texts():
         assert all((gif.histogram(f) == gif.histogram(w)).all() for f, w in zip(got, whole))
     with pytest.raises(ValueError, match="canvas"):
         list(gif.frames(b"GIF89a" + bytes([255, 255, 255, 255, 0, 0, 0])))
+
+
+def test_rank_map_is_short_and_whole(spark, monkeypatch):
+    """The literals hold every entry of the pair table, and free places take one digit; place 0, where key 0 looks, keeps its mark."""
+    texts, lit = [], bpe.F.lit
+    monkeypatch.setattr(bpe.F, "lit", lambda x: (texts.append(x), lit(x))[1])
+    bpe.rank_map(bpe.default_path())
+    texts = [t for t in texts if isinstance(t, str) and t.startswith("[")]
+    assert len(texts) == 3 and sum(map(len, texts)) < 2_000_000
+    for text, table in zip(sorted(texts, key=len)[1:], sorted(bpe.pair_table(bpe.default_path()), key=lambda t: (t != bpe.FREE).sum()), strict=True):
+        values = np.array(json.loads(text))
+        assert values[0] == table[0] and ((values == table) | ((values == 0) & (table == bpe.FREE))).all()
