@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,17 @@ def stored(df: DataFrame, path: str | None = None, spark: SparkSession | None =
 
 def settle(spark: SparkSession) -> None:
     """Let go of finished steps on the driver: plans that only cycles of Python objects hold, and then what the JVM
-    holds for them. Spark's cleaner drops broadcasts and shuffles of data frames that are gone, on the executors too."""
+    holds for them. Spark's cleaner drops broadcasts and shuffles of data frames that are gone, on the executors too.
+    What the driver's JVM has freed outside its heap (the compiler's memory, buffers) goes back to the system."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    # the server's own class is hidden, so its interface is called
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    call = gateway.new_array(jvm.Object, 4)
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with contextlib.suppress(Py4JJavaError):  # not every JVM and C library can
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
 
 
 @contextlib.contextmanager
