@@ -12,9 +12,12 @@ Two relations between sets save work:
   Pairs found in the rest are counted: similar sets share a known least number of prefix tokens.
 * Answer level: each set is first compared only with a few neighbours in the list and with its block's
   leader, which are the sets most like it. What these comparisons answer is carried over to the whole
-  component: the second round looks only for partners in other components, so a group of near copies
-  costs a number of comparisons in proportion to its size, not to its square. No link between
-  different components is lost, as every pair of the remaining blocks is compared.
+  component: later rounds look only for partners in other components. In the next ones, each set is
+  compared with the hubs of its lists, two well linked sets of the ``HUBS`` largest components there, since most
+  of a group's sets that stay out at first link with its middle. The last round compares every pair of
+  different components in the remaining blocks, so no link between components is lost. All but the last take
+  comparisons in proportion to a group's size; in the last, only sets that link with no hub are compared with
+  all others.
 
 Copies (equal sets) are collapsed to one representative before pairs are made. Components come from
 alternating star contractions in Spark; nothing about single documents reaches the driver. The
@@ -44,6 +47,8 @@ from . import textvec as tv
 SHINGLE, NUM, DEN = 5, 4, 5  # five words, Jaccard of 4/5 or more
 HEAVY_FROM, MAX_HEAVY, BLOCK, LARGE = 8, 1 << 20, 256, 64
 NEIGHBOURS = (1, 2, 3, 5, 8)
+HUBS, ROUNDS = 4, 2  # components of a list whose best linked sets are tried, and how often; the last round misses no link
+FEW = 5  # comparisons that say little about a set
 MARKS, MAP_BITS = 1 << 25, 1 << 15  # bits in all (4 MB), and in one map of Spark's bitmap functions
 
 
@@ -202,6 +207,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _several(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with sets of several components: token, sid, n, pos, and each set's component and how many members it has."""
+    comp = components(links)
+    sizes = comp.groupBy("root").agg((F.count("*") + 1).alias("members"))
+    named = comp.join(sizes, "root").select(F.col("node").alias("sid"), "root", "members").unionByName(sizes.select(F.col("root").alias("sid"), "root", "members"))
+    marked = lists.join(named, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    both = Window.partitionBy("token")
+    return marked.withColumn("lo", F.min("comp").over(both)).withColumn("hi", F.max("comp").over(both)).where("lo < hi").drop("lo", "hi")
+
+
+def _hubs(lists: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+    """(sid, n, pos, o: sid, n, pos) for each set and the best linked sets of the largest components of its list, if larger than its own.
+
+    Two of each component: that with most links, and that with most of the pairs (seen) that it was compared in. Leaders of
+    blocks are compared often and have many links without being in the middle of their component.
+    """
+    ends = links.select("a", "b", F.lit(1).alias("hit")).unionByName(seen.select("a", "b", F.lit(0).alias("hit")))
+    known = ends.select(F.explode(F.array("a", "b")).alias("sid"), "hit").groupBy("sid").agg(F.sum("hit").alias("degree"), F.sum(1 - F.col("hit")).alias("tried"))
+    linked = known.where("degree > 0").select("sid", "degree", (F.col("degree") / (F.col("tried") + FEW)).alias("share"))
+    own = F.struct("sid", "n", "pos")
+    best = [F.max(F.struct(c, own.alias("o"))).alias(c) for c in ("degree", "share")]
+    largest = Window.partitionBy("token").orderBy(F.desc("members"), F.desc("comp"))
+    hubs = lists.join(linked, "sid").groupBy("token", "comp", "members").agg(*best).withColumn("r", F.row_number().over(largest)).where(F.col("r") <= HUBS)
+    hubs = hubs.select("token", F.struct("members", "comp").alias("rank"), F.explode(F.array_distinct(F.array("degree.o", "share.o"))).alias("o"))
+    return lists.join(hubs, "token").where(F.struct("members", "comp") < F.col("rank")).select("sid", "n", "pos", "o")
+
+
 def _blocks(lists: DataFrame) -> DataFrame:
     """lists (token, sid, n, pos, comp, members) as blocks of at most BLOCK neighbours in size, with their bounds.
 
@@ -283,9 +315,12 @@ def _count_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from done()
 
 
-def _counted(pairs: DataFrame, part: int) -> DataFrame:
-    """Distinct pairs (a, b) that come at least as often as similar sets share prefix tokens, or a ``part`` of that."""
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+def _counted(near: DataFrame, part: int) -> DataFrame:
+    """Distinct pairs (a, b) of near (sid, n, pos, o: sid, n, pos) that come at least as often as similar sets share prefix
+    tokens, or a ``part`` of that."""
+    pairs = near.where("o IS NOT NULL AND o.sid <> sid").where(_possible(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos")))
+    sides = [F.when(F.col("sid") < F.col("o.sid"), F.col(x)).otherwise(F.col(y)).alias(k) for x, y, k in (("sid", "o.sid", "a"), ("o.sid", "sid", "b"), ("n", "o.n", "na"), ("o.n", "n", "nb"))]
+    n = pairs.select(*sides).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return n.where(part * F.col("c") >= _least_shared(F.col("na"), F.col("nb"))).select("a", "b")
 
 
@@ -323,18 +358,20 @@ def link(docs: DataFrame, heavy_from: int = HEAVY_FROM, max_heavy: int = MAX_HEA
     numbered = lists.withColumn("r", F.row_number().over(order) - 1)
     first = F.first(own).over(Window.partitionBy("token", F.floor(F.col("r") / BLOCK)).orderBy("n", "sid"))
     near = numbered.withColumn("near", F.array(first, *(F.lag(own, k).over(order) for k in NEIGHBOURS))).withColumn("o", F.explode("near"))
-    pairs = near.where("o IS NOT NULL AND o.sid <> sid").where(_possible(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos")))
-    sides = [F.when(F.col("sid") < F.col("o.sid"), F.col(x)).otherwise(F.col(y)).alias(k) for x, y, k in (("sid", "o.sid", "a"), ("o.sid", "sid", "b"), ("n", "o.n", "na"), ("o.n", "n", "nb"))]
-    # neighbours in half of the lists that similar sets share are worth a look; the second round misses none
-    pairs = stored(_counted(pairs.select(*sides), 2))
-    near_links = stored(_verified(pairs, _needed(source, pairs)))
-    comp = components(near_links)
-    sizes = comp.groupBy("root").agg((F.count("*") + 1).alias("members"))
-    named = comp.join(sizes, "root").select(F.col("node").alias("sid"), "root", "members").unionByName(sizes.select(F.col("root").alias("sid"), "root", "members"))
-    marked = lists.join(named, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
-    several = marked.withColumn("lo", F.min("comp").over(both)).withColumn("hi", F.max("comp").over(both)).where("lo < hi").drop("lo", "hi")
-    rest = stored(_across(several).join(pairs, ["a", "b"], "left_anti"))
-    links = near_links.unionByName(_verified(rest, _needed(source, rest)))
+    # neighbours in half of the lists that similar sets share are worth a look, and so are hubs; the last round misses none
+    seen = stored(_counted(near, 2))
+    links = stored(_verified(seen, _needed(source, seen)))
+    several = stored(_several(lists, links))
+    for _ in range(ROUNDS):
+        pairs = stored(_counted(_hubs(several, links, seen), 2).join(seen, ["a", "b"], "left_anti"))
+        found = stored(_verified(pairs, _needed(source, pairs)))
+        seen = seen.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        several = stored(_several(several.select("token", "sid", "n", "pos"), links))
+    rest = stored(_across(several).join(seen, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(rest, _needed(source, rest)))
     members = narrow.join(reps.select("n", "h1", "h2", F.col("sid").alias("_s")), ["n", "h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_s")).otherwise(F.col("doc_id")).alias("sid"))
     return members, stored(links)
 

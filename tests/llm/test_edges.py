@@ -94,6 +94,25 @@ def test_join_against_all_pairs(spark, seed):
     assert {tuple(x) for x in links.select("a", "b").collect()} <= {(j, i) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
 
 
+def test_pairs_of_a_group_of_near_copies_are_few(spark, monkeypatch):
+    # copies differ from the middle in two or three words, and so from each other in four to six: most link with the middle only
+    r = random.Random(11)
+    middle = [f"m{k}" for k in range(150)]
+
+    def copy():
+        w = list(middle)
+        for at in r.sample(range(5, 145), r.choice([2, 3])):
+            w[at] = f"x{r.randrange(10**9)}"
+        return " ".join(w)
+
+    size = 400
+    docs = spark.createDataFrame([(i, copy()) for i in range(size)] + [(size, " ".join(middle))], "doc_id long, text string").repartition(3)
+    compared, needed = [], setjoin._needed
+    monkeypatch.setattr(setjoin, "_needed", lambda source, pairs: compared.append(pairs.count()) or needed(source, pairs))
+    assert {x["component_id"] for x in setjoin.join(docs).collect()} == {0}
+    assert sum(compared) < 40 * size, compared
+
+
 def test_bpe(docs, nothing):
     import public_tokenizers as P
     import tiktoken
